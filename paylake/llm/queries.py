@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from . import line_dedup, mixing, simhash
 from .byte_bpe import op2_byte_bpe
+from .language_id import op3_language_id
 from .token_files import op4_token_files
+from .warc import op10_warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL}
