@@ -145,16 +145,17 @@ def _encoder(path: str, pattern: str) -> tuple[PieceEncoder, list[bytes]]:
     vocab = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
         vocab[v] = k
-    known: dict[str, bytes] = {}
+    caches: list[dict[str, bytes]] = [{}, {}]  # now, and before
 
     def ids(text: str) -> np.ndarray:
+        known, old = caches
         found = cut.findall(text)
         for p in set(found):
             if p not in known:
-                known[p] = array("i", merge(p.encode("utf-8", "surrogatepass"), ranks, pairs)).tobytes()
+                known[p] = old[p] if p in old else array("i", merge(p.encode("utf-8", "surrogatepass"), ranks, pairs)).tobytes()
         out = np.frombuffer(b"".join([known[p] for p in found]), "<i4")
-        if len(known) > MOST_PIECES // 2:
-            known.clear()
+        if len(known) > MOST_PIECES // 3:
+            caches[:] = {}, known
         return out
 
     return PieceEncoder(ids, np.array([len(x) for x in vocab])), vocab

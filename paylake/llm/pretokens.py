@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct pieces remembered at a time; the older half is forgotten when full. Bounds a worker's memory.
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
 
 
 class PieceEncoder:
@@ -21,6 +21,7 @@ class PieceEncoder:
 
     def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray):
         self.encode, self.lengths = encode, lengths
+        self.marks = {c: encode(c).tobytes() for c in ",."}
         self.now: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -32,7 +33,14 @@ class PieceEncoder:
         """Pieces may stand side by side as in a text, so one call encodes many; the ids are told
         apart by the bytes they cover."""
         old, now = self.old, self.now
-        new, texts = [], []
+        new, texts, ends_in = [], [], []
+        for p in list(pieces):
+            # a word and one mark after it are encoded apart
+            if len(p) > 1 and p[-1] in ",." and p[-2].isalpha():
+                ends_in.append(p)
+                pieces.discard(p)
+                if p[:-1] not in now:
+                    pieces.add(p[:-1])
         for p in pieces:
             if p in old:
                 now[p] = old[p]
@@ -45,8 +53,14 @@ class PieceEncoder:
                 continue
             new.append(p)
             texts.append(p if feed else " " + p)
+        self._encode_all(new, texts)
+        for p in ends_in:
+            now[p] = base + self.marks[p[-1]] if (base := now[p[:-1]]) is not None else None
+
+    def _encode_all(self, new: list[str], texts: list[str]) -> None:
         if not new:
             return
+        now = self.now
         ids = self.encode("".join(texts))
         upto = np.cumsum(self.lengths[ids])
         ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts])
