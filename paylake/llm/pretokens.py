@@ -14,6 +14,7 @@ import numpy as np
 
 #: Distinct pieces remembered at a time; the older half is forgotten when full. Bounds a worker's memory.
 MOST_PIECES = 600_000
+AT_ONCE = 128  # texts whose new pieces are encoded together
 
 
 class PieceEncoder:
@@ -73,12 +74,12 @@ class PieceEncoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for k in range(0, len(texts), 64):
-            part = [x.replace("\n", " \n").split(" ") for x in texts[k : k + 64]]
+        for k in range(0, len(texts), AT_ONCE):
+            part = [x.replace("\n", " \n").split(" ") for x in texts[k : k + AT_ONCE]]
             now = self.now
             if new := {p for x in part for p in x[1:] if p not in now}:
                 self._learn(new)
-            for text, pieces in zip(texts[k : k + 64], part):
+            for text, pieces in zip(texts[k : k + AT_ONCE], part):
                 first, rest = pieces[0], list(map(now.__getitem__, pieces[1:]))
                 odd = not first or first[0].isspace() or first[-1].isspace() or None in rest or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")
                 out.append((self.whole(text) if text else b"") if odd else b"".join([self.whole(first), *rest]))
