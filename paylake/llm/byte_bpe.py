@@ -213,7 +213,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
-                ids = _lists(enc.texts([x or "" for x in b.column(t).to_pylist()]))
+                ids = _lists(enc.texts(b.column(t).cast(pa.string())))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, *[_bytes_of(ids, vocab)] * bool(decoded)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

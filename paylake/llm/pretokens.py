@@ -1,9 +1,10 @@
 """Splits texts into pieces that byte-level BPE encodes independently, and remembers pieces.
 
 The pattern of byte-level BPE cuts wherever a single blank stands between two characters that are
-no white space, and around a single line feed. So most text falls apart by ``str.split``, and each
-distinct piece need be matched and merged once. Texts with other runs of white space take the
-pattern itself; both ways give the same ids.
+no white space, and around a single line feed. So most text falls apart at blanks. Arrow splits a
+batch of texts and finds its distinct pieces; only those are looked up, matched and merged, and a
+text's ids are a cut of what its pieces stand for, laid end to end. Texts with other runs of white
+space take the pattern itself; both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -11,78 +12,97 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces remembered at a time; the older half is forgotten when full. Bounds a worker's memory.
-MOST_PIECES = 600_000
-AT_ONCE = 128  # texts whose new pieces are encoded together
+MOST_PIECES = 500_000
+AT_ONCE = 2000  # texts whose distinct pieces are found together
+MOST_NEW = 30_000  # pieces encoded by one call
+FIRST = "\x01"  # marks a text's first piece, before which there is no blank
+ODD = b"odd"  # stands for pieces that may match differently beside their neighbours
 
 
 class PieceEncoder:
-    """``encode(text) -> ids`` is asked once for each distinct piece; ``lengths`` has the bytes of each id."""
+    """``encode(text) -> ids`` is asked once for many distinct pieces; ``lengths`` has the bytes of each id."""
 
     def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray):
         self.encode, self.lengths = encode, lengths
         self.marks = {c: encode(c).tobytes() for c in ",."}
-        self.now: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        """Ids of a text without cutting it first."""
-        return self.encode(text).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Pieces may stand side by side as in a text, so one call encodes many; the ids are told
         apart by the bytes they cover."""
-        old, now = self.old, self.now
-        new, texts, ends_in = [], [], []
-        for p in list(pieces):
-            # a word and one mark after it are encoded apart
-            if len(p) > 1 and p[-1] in ",." and p[-2].isalpha():
-                ends_in.append(p)
-                pieces.discard(p)
-                if p[:-1] not in now:
-                    pieces.add(p[:-1])
+        now, old = self.now, self.old
+        new, marked = [], []
         for p in pieces:
             if p in old:
                 now[p] = old[p]
-                continue
-            feed = p[:1] == "\n"
-            body = p[1:] if feed else p
-            # white space at a piece's ends may match differently beside its neighbours
-            if (not body and not feed) or (body and (body[0].isspace() or body[-1].isspace())):
-                now[p] = None
-                continue
+            elif p[-1:] in (",", ".") and p[-2:-1].isalpha():  # a word and one mark after it are encoded apart
+                marked.append(p)
+                if (word := p[:-1]) in old:
+                    now[word] = old[word]
+                elif word not in now:
+                    self._sort(word, new)
+            elif p not in now:
+                self._sort(p, new)
+        for k in range(0, len(new), MOST_NEW):
+            self._encode_all(new[k : k + MOST_NEW])
+        for p in marked:
+            now[p] = ODD if (base := now[p[:-1]]) is ODD else base + self.marks[p[-1]]
+
+    def _sort(self, p: str, new: list[str]) -> None:
+        self.now[p] = ODD  # for the time being, if it is new
+        body = p[1:] if p[:1] in ("\n", FIRST) else p
+        if not (body[:1].isspace() or body[-1:].isspace()) if body else p == "\n":
             new.append(p)
-            texts.append(p if feed else " " + p)
-        self._encode_all(new, texts)
-        for p in ends_in:
-            now[p] = base + self.marks[p[-1]] if (base := now[p[:-1]]) is not None else None
 
-    def _encode_all(self, new: list[str], texts: list[str]) -> None:
-        if not new:
-            return
-        now = self.now
+    def _encode_all(self, new: list[str]) -> None:
+        # a text's first piece comes after a line feed here, which is one id of its own
+        texts = [p if p[0] == "\n" else "\n" + p[1:] if p[0] == FIRST else " " + p for p in new]
         ids = self.encode("".join(texts))
         upto = np.cumsum(self.lengths[ids])
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts])
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in texts])
         at = (np.searchsorted(upto, ends) + 1) * 4
-        data, a = ids.tobytes(), 0
+        data, now, a = ids.tobytes(), self.now, 0
         for p, z in zip(new, at.tolist()):
-            now[p] = data[a:z]
+            now[p] = data[a + 4 : z] if p[0] == FIRST else data[a:z]
             a = z
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for k in range(0, len(texts), AT_ONCE):
-            part = [x.replace("\n", " \n").split(" ") for x in texts[k : k + AT_ONCE]]
+    def _split(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        found = lists.flatten().dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        known = list(map(self.now.get, pieces))
+        if missing := [p for p, x in zip(pieces, known) if x is None]:
+            self._learn(missing)
             now = self.now
-            if new := {p for x in part for p in x[1:] if p not in now}:
-                self._learn(new)
-            for text, pieces in zip(texts[k : k + AT_ONCE], part):
-                first, rest = pieces[0], list(map(now.__getitem__, pieces[1:]))
-                odd = not first or first[0].isspace() or first[-1].isspace() or None in rest or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")
-                out.append((self.whole(text) if text else b"") if odd else b"".join([self.whole(first), *rest]))
-            if len(now) > MOST_PIECES // 2:
-                self.now, self.old = {}, now
+            known = [now[p] if x is None else x for p, x in zip(pieces, known)]
+        ids = pa.array(known, pa.binary()).take(found.indices)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        data, cuts = memoryview(ids.buffers()[2] or b""), offsets[at].tolist()
+        odd = np.zeros(len(texts), bool)
+        if bad := [k for k, x in enumerate(known) if x is ODD]:
+            where = np.flatnonzero(np.isin(found.indices.to_numpy(), bad))
+            odd[np.searchsorted(at, where, "right") - 1] = True
+        for p in ("\n\n\n", "\n\n ", FIRST):
+            odd |= pc.match_substring(texts, p).to_numpy(zero_copy_only=False)
+        odd |= pc.ends_with(texts, "\n\n").to_numpy(zero_copy_only=False)
+        out = []
+        for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            if odd[k]:
+                out.append(self.encode(text).tobytes() if (text := texts[k].as_py()) else b"")
+            else:
+                out.append(bytes(data[a:z]))
+        if len(self.now) > MOST_PIECES // 2:
+            self.now, self.old = {}, self.now
         return out
+
+    def texts(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text (null: none) as little-endian 32-bit integers."""
+        col = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        return [x for k in range(0, len(col), AT_ONCE) for x in self._split(col.slice(k, AT_ONCE))]

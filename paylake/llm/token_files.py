@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import PieceEncoder
+from .pretokens import AT_ONCE, PieceEncoder
 from .shared import shared_root
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,7 +43,7 @@ def _encoder(path: str) -> PieceEncoder:
     letters = set(ByteLevel.alphabet())  # a byte each
     for token, i in t.get_vocab().items():
         lengths[i] = len(token) if letters.issuperset(token) else len(token.encode())
-    return PieceEncoder(lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<i4"), lengths)
+    return PieceEncoder(lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4"), lengths)
 
 
 def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -54,9 +54,9 @@ def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                ids = [x + tail for x in enc.texts([x or "" for x in b.column(1).to_pylist()])]
+            for k in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(k, AT_ONCE)
+                ids = [x + tail for x in enc.texts(b.column(1))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
@@ -87,11 +87,12 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     within each file.
     """
     t = spark.read.parquet(path)
-    return with_start(t.select("part", "doc_id", "n_tokens"))
+    return with_start(t.select("part", "doc_id", "n_tokens"), t)
 
 
-def with_start(t: DataFrame) -> DataFrame:
-    sums = t.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+def with_start(t: DataFrame, stored: DataFrame) -> DataFrame:
+    """``t`` with start; ``stored``: the files, of which part and n_tokens are read."""
+    sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     order = [F.col("doc_id").asc_nulls_first(), *[c for c in t.columns if c not in ("part", "doc_id")]]
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return t.withColumn("upto", F.sum("n_tokens").over(within)).join(sums, "part").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("before", "upto", "part")
@@ -116,4 +117,5 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     write_tokens(token_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")), path)
-    return with_start(checksums(spark.read.parquet(path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    stored = spark.read.parquet(path)
+    return with_start(checksums(stored), stored).select("doc_id", "start", "n_tokens", "ids_crc32")
