@@ -34,6 +34,7 @@ from .shared import FileCache, read_file, save, shared_folder, write_file
 COSINE = 0.93
 SHARD = 1024
 WIDTH, AUDIT, AUDITED = 48, 0.995, 48
+MOST_TASKS = 20_000
 SLACK = 1e-4  # single-precision products this much below the threshold are verified too
 
 
@@ -116,7 +117,8 @@ def class_links(spark: SparkSession, classes: DataFrame, threshold: float = COSI
                 k = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(links[k].astype(np.int64)), pa.array(rep[order][root[back]][k])], names=["rep", "links", "root"])
 
-    return pairs.select("label", "i", "j").repartition(F.col("label"), F.col("i"), F.col("j")).mapInArrow(search, "rep long, links long, root long")
+    tasks = max(16, min(pairs.count(), MOST_TASKS))  # a stated number is not coalesced: the pairs are few rows but much work
+    return pairs.select("label", "i", "j").repartition(tasks, "label", "i", "j").mapInArrow(search, "rep long, links long, root long")
 
 
 def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = COSINE, shard: int = SHARD) -> DataFrame:
