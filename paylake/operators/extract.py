@@ -26,30 +26,37 @@ def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = (
     ``errors``. A field that fails never by itself fails the segment.
     """
     s, (_, paths) = schema[kind], schema.paths[kind]
-    own, errors, found = [], F.array().cast(_NO_ERRORS), F.lit(True)
+    mine = cut.where(F.col("kind") == kind)
+    # each rule is worked out once, in a projection of its own; what follows only looks at the outcome
+    bad = {}
+    for k, f in enumerate(s.fields):
+        if f.validator:
+            texts = F.col("vals")[k]
+            wrong = lambda v, f=f: ~F.coalesce(f.validator.valid(v), F.lit(False))
+            bad[f"_bad{k}"] = F.transform(texts, wrong) if f.cardinality == REPEATED else F.get(texts, 0).isNotNull() & wrong(F.get(texts, 0))
+    mine = mine.withColumns(bad) if bad else mine
+    own, errors, before, found = [], [], F.lit(0), F.lit(True)
     for k, (f, path) in enumerate(zip(s.fields, paths)):
-        texts, cast = F.col("vals")[k], CASTS[f.type]
+        texts, cast, repeated = F.col("vals")[k], CASTS[f.type], f.cardinality == REPEATED
         one = F.get(texts, 0)
         if f.cardinality != OPTIONAL:
             found = found & (F.size(texts) > 0)
         if not f.validator:
-            own.append((F.transform(texts, cast) if f.cardinality == REPEATED else cast(one)).alias(f.name))
+            own.append((F.transform(texts, cast) if repeated else cast(one)).alias(f.name))
             continue
-        valid = lambda v, f=f: F.coalesce(f.validator.valid(v), F.lit(False))
-        before = F.size(errors)
-        nothing = F.lit(None).cast("int")
-        if f.cardinality == REPEATED:
-            bad = F.filter(texts, lambda v: ~valid(v))  # noqa: B023
-            upto = lambda i: F.size(F.filter(F.slice(texts, F.lit(1), i + 1), lambda v: ~valid(v)))  # noqa: B023, E731
-            value = F.transform(texts, lambda v, i: F.struct(F.when(valid(v), cast(v)).alias("value"), F.when(~valid(v), before + upto(i) - 1).alias("error_idx")))  # noqa: B023
-            more = F.transform(bad, lambda v, f=f, p=str(path): _error(f, p, v))
+        wrong, error = F.col(f"_bad{k}"), lambda v, f=f, p=str(path): _error(f, p, v)
+        if repeated:
+            upto = lambda i, wrong=wrong: F.size(F.filter(F.slice(wrong, F.lit(1), i), lambda b: b))
+            value = F.transform(texts, lambda v, i: F.struct(F.when(~wrong[i], cast(v)).alias("value"), F.when(wrong[i], before + upto(i)).alias("error_idx")))  # noqa: B023
+            errors.append(F.transform(F.filter(F.arrays_zip(texts.alias("v"), wrong.alias("b")), lambda x: x["b"]), lambda x, error=error: error(x["v"])))
+            count = F.size(F.filter(wrong, lambda b: b))
         else:
-            wrong = one.isNotNull() & ~valid(one)
-            value = F.when(one.isNotNull(), F.struct(F.when(~wrong, cast(one)).alias("value"), F.when(wrong, before).otherwise(nothing).alias("error_idx")))
-            more = F.when(wrong, F.array(_error(f, str(path), one))).otherwise(F.array().cast(_NO_ERRORS))
+            value = F.when(one.isNotNull(), F.struct(F.when(~wrong, cast(one)).alias("value"), F.when(wrong, before).alias("error_idx")))
+            errors.append(F.when(wrong, F.array(error(one))).otherwise(F.array().cast(_NO_ERRORS)).cast(_NO_ERRORS))
+            count = wrong.cast("int")
         own.append(value.alias(f.name))
-        errors = F.concat(errors, more.cast(_NO_ERRORS))
-    return cut.where(F.col("kind") == kind).select(*keep, "seg_id", "raw", *own, errors.alias("errors"), found.alias("complete"))
+        before = before + count
+    return mine.select(*keep, "seg_id", "raw", *own, (F.concat(*errors) if errors else F.array()).cast(_NO_ERRORS).alias("errors"), found.alias("complete"))
 
 
 def with_flags(segments: DataFrame, doc: str = "doc_ndx") -> DataFrame:
