@@ -5,10 +5,10 @@ logistic regression on hashed words of the whole text, and sees, besides the wor
 probabilities of the links before it. Those are out-of-fold: training documents are dealt to
 ``FOLDS`` by hash, and the probability a document passes on comes from a model that has not seen
 its fold; so a later link trains on what it will meet. The decision threshold of the last category
-is chosen on its out-of-fold predictions. Weights are learned by FTRL-proximal with an elastic net.
+is chosen on its out-of-fold predictions, and is at least a half. Weights are learned by FTRL-proximal with an elastic net.
 
-Fitted on at most ``MOST_ROWS`` labelled documents (by hash of doc_id, about evenly by label);
-document frequencies of the words cover all labelled documents, prediction covers every document.
+Fitted on at most ``MOST_ROWS`` labelled documents (by hash of doc_id, about evenly by label), one
+of each family of near copies; predictions cover every document.
 
 Defined results: null or wordless texts are not toxic and have score 0. With no labels, or only one
 value of a label, that category's probability is its constant share. Repeated rows are predicted
@@ -34,9 +34,10 @@ from .shared import save, without
 BUCKETS = 1 << 17
 MOST_ROWS = 12_000
 FOLDS, EPOCHS = 4, 3
-L1, L2, ALPHA = 0.02, 0.002, 0.3
+L1, L2, ALPHA = 2.0, 0.002, 0.3
 WORD = re.compile(rb"[a-z\x80-\xff]+")
-LEAST_DF = 2  # labelled documents a bucket must be found in to be learned from
+LEAST_FAMILIES = 4  # families a bucket must be found in to be learned from
+LEAST_THRESHOLD = 0.5  # labels have errors; a document that is more likely clean stays clean
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -85,7 +86,7 @@ class Chain:
                     oof[j] = part.prob(x[j], before[j].tolist())
             links.append(fit_link(x, before, y[:, k]))
             before = np.c_[before, oof]
-        return cls(names, links, best_threshold(before[:, -1], y[:, -1]))
+        return cls(names, links, max(LEAST_THRESHOLD, best_threshold(before[:, -1], y[:, -1])))
 
     def probs(self, at: np.ndarray) -> list[float]:
         out: list[float] = []
@@ -107,37 +108,52 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, names: list[str], most_rows: int = MOST_ROWS) -> Chain | None:
-    """``labels``: doc_id and a 0/1 column per category, in chain order. None without labels."""
-    clean = labels.where(F.col("doc_id").isNotNull()).dropna(subset=names).groupBy("doc_id").agg(*[F.max(F.col(n).cast("int")).alias(n) for n in names])
-    both = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(clean, "doc_id")
+    """``labels``: doc_id and a 0/1 column per category, in chain order. None without labels.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [buckets(t).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(at, pa.binary())], names=["doc_id", *names, "at"])
-
-    rows = save(spark, both.select("doc_id", "text", *names).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", at binary"), "features")
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                df[np.frombuffer(x, "<i4")] += 1
-        k = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], names=["bucket", "n"])
-
-    common = rows.select("at").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DF).select("bucket").collect()
-    use = np.zeros(BUCKETS, bool)
-    use[[r.bucket for r in common]] = True
+    The labelled rows to fit on are picked from the labels alone, so only their ids (``most_rows`` at
+    most) are sent to the documents; texts are not shuffled.
+    """
+    clean = labels.where(F.col("doc_id").isNotNull()).dropna(subset=names).groupBy("doc_id").agg(*[F.max(F.col(n).cast("int")).alias(n) for n in names])
+    clean = save(spark, clean, "labels")
     last = names[-1]
-    size = {r[last]: r["count"] for r in rows.groupBy(last).count().collect()}  # at most two rows
+    size = {r[last]: r["count"] for r in clean.groupBy(last).count().collect()}  # at most two rows
     if not size:
         return None
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
     h = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
     rate = F.when(F.col(last) > 0, min(1.0, most_rows / 2 / size.get(1, 1))).otherwise(min(1.0, most_rows / 2 / size.get(0, 1)))
-    got = rows.withColumn("h", h).where(F.col("h") < rate * (1 << 30)).orderBy("h", "doc_id").limit(most_rows).collect()
-    x = [(at := np.frombuffer(r["at"], "<i4"))[use[at]] for r in got]
-    return Chain.fit(names, x, np.array([[r[n] for n in names] for r in got]), np.array([r.h % FOLDS for r in got]))
+    picked = clean.withColumn("h", h).where(F.col("h") < rate * (1 << 30)).orderBy("h", "doc_id").limit(most_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [buckets(t).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(at, pa.binary())], names=["doc_id", "h", *names, "at"])
+
+    both = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "h", *names)
+    rows = both.mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} int" for n in names) + ", at binary")
+    got = rows.orderBy("h", "doc_id", "at").limit(most_rows).collect()  # a doc_id may have several rows
+    return fit(names, [np.frombuffer(r["at"], "<i4") for r in got], np.array([[r[n] for n in names] for r in got]).reshape(-1, len(names)))
+
+
+def family(at: np.ndarray) -> int:
+    """Two min-hashes of the buckets as one number: copies and near copies mostly share it."""
+    low = [int((at.astype(np.uint64) * np.uint64(p) & np.uint64(0xFFFFFFFF)).min()) if len(at) else 0 for p in (2654435761, 2246822519)]
+    return low[0] << 32 | low[1]
+
+
+def fit(names: list[str], x: list[np.ndarray], y: np.ndarray) -> Chain:
+    """A chain over one document of each family, so that a text with many copies counts once and its
+    copies do not meet in different folds; buckets of fewer than ``LEAST_FAMILIES`` are left out."""
+    own: dict[int, int] = {}
+    for j, at in enumerate(x):
+        own.setdefault(family(at), j)
+    count = np.zeros(BUCKETS, np.int64)
+    for j in own.values():
+        count[x[j]] += 1
+    use = count >= LEAST_FAMILIES
+    rows = list(own.values())
+    return Chain.fit(names, [x[j][use[x[j]]] for j in rows], y[rows], np.array([k % 65521 % FOLDS for k in own], np.int64))
 
 
 def predict(docs: DataFrame, chain: Chain | None) -> DataFrame:
