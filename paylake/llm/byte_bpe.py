@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import MOST_PIECES, PieceEncoder
-from .shared import without
+from .pretokens import PieceEncoder
+from .shared import release, without
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -37,6 +37,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 WIDTH = 8  # a word of the lower bitmap has 2 ** WIDTH ranks
 BIT = [1 << k for k in range(1 << WIDTH)]
 MASK = (1 << WIDTH) - 1
+MOST_KNOWN = 120_000
 LONG = 1 << 20  # bytes from which the lists of positions are packed arrays
 
 
@@ -159,27 +160,25 @@ def _encoder(path: str, pattern: str) -> tuple[PieceEncoder, pa.Array]:
     vocab = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
         vocab[v] = k
-    caches: list[dict[str, bytes]] = [{}, {}]  # now, and before
+    known: dict[str, bytes] = {}  # pieces met lately, for texts that are not cut at blanks
 
     def ids(text: str) -> np.ndarray:
-        known, old = caches
         found = cut.findall(text)
-        new, pieces = [], []
+        own, new, pieces = {}, [], []
         for p in set(found):
-            if p not in known:
-                if p in old:
-                    known[p] = old[p]
-                elif (whole := ranks.get(b := p.encode("utf-8", "surrogatepass"))) is not None:
-                    known[p] = whole.to_bytes(4, "little")
-                else:
-                    new.append(p)
-                    pieces.append(b)
+            if p in known:
+                own[p] = known[p]
+            elif (whole := ranks.get(b := p.encode("utf-8", "surrogatepass"))) is not None:
+                own[p] = whole.to_bytes(4, "little")
+            else:
+                new.append(p)
+                pieces.append(b)
         if new:
-            known.update(zip(new, merge(pieces, ranks, bytes_id, pairs)))
-        out = np.frombuffer(b"".join([known[p] for p in found]), "<i4")
-        if len(known) > MOST_PIECES // 3:
-            caches[:] = {}, known
-        return out
+            own.update(zip(new, merge(pieces, ranks, bytes_id, pairs)))
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        known.update(own)
+        return np.frombuffer(b"".join([own[p] for p in found]), "<i4")
 
     return PieceEncoder(ids, np.array([len(x) for x in vocab])), pa.array(vocab, pa.binary())
 
@@ -215,6 +214,8 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
                 b = whole.slice(k, 1000)
                 ids = _lists(enc.texts(b.column(t).cast(pa.string())))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, *[_bytes_of(ids, vocab)] * bool(decoded)], names=schema.names)
+                del ids, b
+                release()
 
     return docs.mapInArrow(run, schema)
 

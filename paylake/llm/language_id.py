@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import without
+from .shared import release, without
 
 BUCKETS = 1 << 15
 MOST_ROWS = 3000  # labelled rows that the weights and the temperature are fitted on
@@ -92,6 +92,7 @@ def document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], names=["bucket", "n"])
+        release()
 
     seen = np.zeros(BUCKETS, bool)
     got = training.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -229,6 +230,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     for j, i, s in zip(on, best.tolist(), p.tolist()):
                         lang[j], score[j] = m.langs[i], min(1.0, s)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], names=schema.names)
+            del whole, b, col, texts
+            release()
 
     return docs.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import FileCache, read_file, save, shared_folder, without, write_file
+from .shared import FileCache, read_file, release, save, shared_folder, without, write_file
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -142,6 +142,7 @@ def line_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
                 [pa.array(h[first, 0]), pa.array(h[first, 1]), pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.maximum.reduceat(who, first))],
                 names=["h1", "h2", "n", "holder"],
             )
+        release()
 
     lines = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(hashes, "h1 long, h2 long, n long, holder long")
     often = lines.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where("n >= 2")
@@ -202,6 +203,8 @@ def drop_lines(docs: DataFrame, index: dict, min_docs: int = 5, min_chars: int =
                 texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in off)
             cols = [pa.array(texts, b.column(t).type) if k == t else b.column(k) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped.astype(np.int64))], names=schema.names)
+            del b, texts, found, cols
+            release()
 
     return docs.mapInArrow(probe, schema)
 

@@ -83,6 +83,19 @@ def read_file(uri: str):
         return f.read()
 
 
+def release() -> None:
+    """Gives memory that is free back to the system; a worker lives on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class FileCache:
     """Keeps the most recently used files open, ``most`` at a time."""
 
