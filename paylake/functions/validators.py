@@ -76,8 +76,8 @@ def members(df: DataFrame, column: str, table: DataFrame, key: str, negate: bool
 
 
 def amount_between(low: int | Decimal, high: int | Decimal) -> Validator:
-    bounds = [F.lit(str(x)).cast("decimal(18,5)") for x in (low, high)]
-    return Validator(lambda v: casts.amount(v).between(*bounds), "amount_out_of_range", f"amount is not within {low} and {high}")
+    bound = lambda x: F.lit(str(x)).cast("decimal(18,5)")
+    return Validator(lambda v: casts.amount(v).between(bound(low), bound(high)), "amount_out_of_range", f"amount is not within {low} and {high}")
 
 
 def matches(pattern: str, domain_code: str) -> Validator:

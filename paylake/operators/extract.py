@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,27 @@ def _error(f: Field, path: str, value: Column) -> Column:
     return F.struct(F.lit("semantic_error").alias("code"), F.lit(f.validator.domain_code).alias("domain_code"), message.alias("message"), F.lit(path).alias("path"), none.alias("line"), none.alias("column"))
 
 
+# higher-order functions look at the number of parameters, so these close over the rest
+
+
+def _wrong(f: Field) -> Callable[[Column], Column]:
+    return lambda v: ~F.coalesce(f.validator.valid(v), F.lit(False))
+
+
+def _error_of(f: Field, path: str) -> Callable[[Column], Column]:
+    return lambda v: _error(f, path, v)
+
+
+def _at(marks: Column) -> Callable[[Column, Column], Column]:
+    return lambda v, i: marks[i]
+
+
+def _element(wrong: Column, cast: Callable[[Column], Column], before: Column) -> Callable[[Column, Column], Column]:
+    """An element of a repeated validated field; its error comes after those of the elements before it."""
+    upto = lambda i: F.size(F.filter(F.slice(wrong, F.lit(1), i), lambda b: b))
+    return lambda v, i: F.struct(F.when(~wrong[i], cast(v)).alias("value"), F.when(wrong[i], before + upto(i)).alias("error_idx"))
+
+
 def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = ("doc_ndx",)) -> DataFrame:
     """The segments of one kind: ``keep``, seg_id, raw, a column per field, errors and complete.
 
@@ -32,7 +55,7 @@ def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = (
     for k, f in enumerate(s.fields):
         if f.validator:
             texts = F.col("vals")[k]
-            wrong = lambda v, f=f: ~F.coalesce(f.validator.valid(v), F.lit(False))
+            wrong = _wrong(f)
             bad[f"_bad{k}"] = F.transform(texts, wrong) if f.cardinality == REPEATED else F.get(texts, 0).isNotNull() & wrong(F.get(texts, 0))
     mine = mine.withColumns(bad) if bad else mine
     own, errors, before, found = [], [], F.lit(0), F.lit(True)
@@ -44,11 +67,10 @@ def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = (
         if not f.validator:
             own.append((F.transform(texts, cast) if repeated else cast(one)).alias(f.name))
             continue
-        wrong, error = F.col(f"_bad{k}"), lambda v, f=f, p=str(path): _error(f, p, v)
+        wrong, error = F.col(f"_bad{k}"), _error_of(f, str(path))
         if repeated:
-            upto = lambda i, wrong=wrong: F.size(F.filter(F.slice(wrong, F.lit(1), i), lambda b: b))
-            value = F.transform(texts, lambda v, i: F.struct(F.when(~wrong[i], cast(v)).alias("value"), F.when(wrong[i], before + upto(i)).alias("error_idx")))  # noqa: B023
-            errors.append(F.transform(F.filter(F.arrays_zip(texts.alias("v"), wrong.alias("b")), lambda x: x["b"]), lambda x, error=error: error(x["v"])))
+            value = F.transform(texts, _element(wrong, cast, before))
+            errors.append(F.transform(F.filter(texts, _at(wrong)), error))
             count = F.size(F.filter(wrong, lambda b: b))
         else:
             value = F.when(one.isNotNull(), F.struct(F.when(~wrong, cast(one)).alias("value"), F.when(wrong, before).alias("error_idx")))

@@ -146,8 +146,7 @@ class Cutter:
                 above.pop()
                 tag = _TAG.match(content, start)
                 a = tag.end() if tag else start
-                here = p.CurrentByteIndex
-                z = content.find(b">", here) + 1 if here >= a else a
+                z = a if content[a - 2 : a] == b"/>" else content.find(b">", p.CurrentByteIndex) + 1
                 found.append((self.kinds[kind][0], content[a:z].decode(encoding, "replace"), vals))
                 kind = -1
 
