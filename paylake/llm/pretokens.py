@@ -26,8 +26,8 @@ ODD = b"odd"  # stands for pieces that may match differently beside their neighb
 class PieceEncoder:
     """``encode(text) -> ids`` is asked once for many distinct pieces; ``lengths`` has the bytes of each id."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray):
-        self.encode, self.lengths = encode, lengths
+    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = MOST_PIECES, at_once: int = AT_ONCE, most_new: int = MOST_NEW):
+        self.encode, self.lengths, self.most, self.at_once, self.most_new = encode, lengths, most, at_once, most_new
         self.marks = {c: encode(c).tobytes() for c in ",."}
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -48,8 +48,8 @@ class PieceEncoder:
                     self._sort(word, new)
             elif p not in now:
                 self._sort(p, new)
-        for k in range(0, len(new), MOST_NEW):
-            self._encode_all(new[k : k + MOST_NEW])
+        for k in range(0, len(new), self.most_new):
+            self._encode_all(new[k : k + self.most_new])
         for p in marked:
             now[p] = ODD if (base := now[p[:-1]]) is ODD else base + self.marks[p[-1]]
 
@@ -98,11 +98,11 @@ class PieceEncoder:
                 out.append(self.encode(text).tobytes() if (text := texts[k].as_py()) else b"")
             else:
                 out.append(bytes(data[a:z]))
-        if len(self.now) > MOST_PIECES // 2:
+        if len(self.now) > self.most // 2:
             self.now, self.old = {}, self.now
         return out
 
     def texts(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian 32-bit integers."""
         col = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        return [x for k in range(0, len(col), AT_ONCE) for x in self._split(col.slice(k, AT_ONCE))]
+        return [x for k in range(0, len(col), self.at_once) for x in self._split(col.slice(k, self.at_once))]

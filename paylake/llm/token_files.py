@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import AT_ONCE, PieceEncoder
+from .pretokens import PieceEncoder
 from .shared import release, shared_root
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+MOST_PIECES, AT_ONCE, MOST_NEW = 500_000, 2000, 30_000  # see PieceEncoder
 
 
 @functools.lru_cache(2)
@@ -43,7 +44,7 @@ def _encoder(path: str) -> PieceEncoder:
     letters = set(ByteLevel.alphabet())  # a byte each
     for token, i in t.get_vocab().items():
         lengths[i] = len(token) if letters.issuperset(token) else len(token.encode())
-    return PieceEncoder(lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4"), lengths)
+    return PieceEncoder(lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4"), lengths, MOST_PIECES, AT_ONCE, MOST_NEW)
 
 
 def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -60,8 +61,8 @@ def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
-                del ids, lists, b
-                release()
+            del whole, b, ids, lists
+            release()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return ordered.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids")
