@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylake.llm import byte_bpe, language_id, line_dedup, mixing, simhash
+from paylake.llm import byte_bpe, language_id, line_dedup, mixing, similar
 from paylake.llm.shared import save
 
 #: A document goes if no language is found in it at all, or the best one is no likelier than this.
@@ -35,8 +35,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate component stays."""
-    found = simhash.near_duplicates(spark, docs)
+    """One document (the smallest doc_id) of each component of similar documents (0.8 of their
+    five-word shingles) stays."""
+    found = similar.near_documents(spark, docs)
     gone = save(spark, found.where("doc_id <> component_id").select("doc_id"), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

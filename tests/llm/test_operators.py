@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paylake.llm import embedding_dedup, language_id, line_dedup, mixing, nearest, simhash, toxicity, warc
+from paylake.llm import embedding_dedup, language_id, line_dedup, mixing, nearest, similar, simhash, toxicity, warc
 from paylake.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,40 @@ def test_pipeline_keeps_columns(spark):
         assert out.columns == docs.columns
         docs = out
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_similar_documents_stay_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 4000, rng.integers(6, 400))]
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), rng.integers(0, max(2, len(copy) // 25))):
+                copy[at] = f"v{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE two"), (None, rows[0][1]), (5, rows[9][1])]
+    sets = [set(similar.shingles(t).tolist()) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = comp[a], comp[b]
+                comp = [new if c == old else c for c in comp]
+    least = {c: min((i for (i, _), k in zip(rows, comp) if k == c and i is not None), default=None) for c in comp}
+    want = sorted(((-1 if i is None else i), least[c]) for (i, _), c in zip(rows, comp))
+    docs = docs_of(spark, rows)
+    for few in (similar.FEW, 0):
+        monkeypatch.setattr(similar, "FEW", few)
+        for most in (similar.MOST, 1):  # 1: rounds follow
+            got = similar.near_documents(spark, docs, most=most).collect()
+            assert sorted(((-1 if r.doc_id is None else r.doc_id), r.component_id) for r in got) == want
+    assert similar.near_documents(spark, docs.limit(0)).collect() == []
+
+
+def test_pipeline_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join("v" if k in (40, 150, 260) else w for k, w in enumerate(words))), (3, " ".join(words[::-1]))])
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()) == [1, 3]
