@@ -4,9 +4,10 @@ Sizes are words. Sources in code-point order (null last) weigh 5, 2, 1, repeatin
 ``share`` times all words; a target stops at ``most`` times its source's size and the excess is
 shared again by weight among the others (a water level over the small table of sources).
 
-The mix is dealt in equal blocks of words. Blocks go to sources by the highest quotients
-target / 1, / 3, / 5 ..., then in the same way to the groups of shards of a source and to the shards
-of a group, so each shard has an integer quota. A shard is about ``SHARD_WORDS`` words of one
+Single words go to sources by the highest quotients target / 1, / 3, / 5 .... A source's words are
+dealt in equal blocks, a thousandth of the source at most, so a small source beside huge ones gets
+its target too. Blocks go in the same way to the groups of shards of a source and to the shards of a
+group, so each shard has an integer quota. A shard is about ``SHARD_WORDS`` words of one
 source, by hash of doc_id: a source that holds a third of all rows is many shards, and every
 window below is over one shard, one group of ``GROUP`` shards, or the table of sources. In a shard
 the documents lie end to end in seeded order; a seeded permutation of its blocks picks which are
@@ -30,6 +31,7 @@ SHARE, MOST = 1.5, 2
 SHARD_WORDS = 1 << 17
 GROUP = 1024
 BLOCK_WORDS, BLOCKS = 256, 1 << 16  # blocks have BLOCK_WORDS words, fewer where the corpus would not have BLOCKS of them
+SOURCE_BLOCKS = 1000  # or the source not SOURCE_BLOCKS of them
 SEED = "mix-1"
 FEW_SOURCES = 10_000  # so many rows of the source table are broadcast; more are joined
 
@@ -88,14 +90,15 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int =
     block = max(1, min(BLOCK_WORDS, total // BLOCKS))
     n_sources = targets.count()
 
-    seats = apportion(targets.withColumn("one", F.lit(1)), ["one"], ["sidx"], F.col("target"), F.round(F.sum("target").over(Window.partitionBy("one")) / block), F.ceil(F.col("source_size") / block) * most, "seats")
-    seats = seats.select("source", "sidx", "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("shards"))
+    seats = apportion(targets.withColumn("one", F.lit(1)), ["one"], ["sidx"], F.col("target"), F.round(F.sum("target").over(Window.partitionBy("one"))), F.col("source_size") * most, "words")
+    seats = seats.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / SOURCE_BLOCKS))).cast("long"))
+    seats = seats.select("source", "sidx", "source_size", "target", "block", F.round(F.col("words") / F.col("block")).cast("long").alias("seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("shards"))
     if n_sources <= FEW_SOURCES:
         seats = F.broadcast(seats)
-    d = sized.join(seats, sized["source"].eqNullSafe(seats["source"])).select("doc_id", "size", "sidx", "source_size", "target", "seats", "shards", _hash(F.col("doc_id")).alias("turn_in_shard"))
+    d = sized.join(seats, sized["source"].eqNullSafe(seats["source"])).select("doc_id", "size", "sidx", "source_size", "target", "block", "seats", "shards", _hash(F.col("doc_id")).alias("turn_in_shard"))
     d = d.withColumn("unit", F.col("turn_in_shard") % F.col("shards"))
 
-    units = save(spark, d.groupBy("sidx", "unit", "seats").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("unit") / GROUP)).withColumn("blocks", F.ceil(F.col("words") / block)), "shards")
+    units = save(spark, d.groupBy("sidx", "unit", "seats", "block").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("unit") / GROUP)).withColumn("blocks", F.ceil(F.col("words") / F.col("block"))), "shards")
     groups = units.groupBy("sidx", "group", "seats").agg(F.sum("words").alias("gwords"), F.sum("blocks").alias("gblocks"))
     groups = apportion(groups, ["sidx"], ["group"], F.col("gwords"), F.col("seats"), F.col("gblocks") * most, "gseats").select("sidx", "group", "gseats")
     units = apportion(units.join(groups, ["sidx", "group"]), ["sidx", "group"], ["unit"], F.col("words"), F.col("gseats"), F.col("blocks") * most, "quota")
@@ -111,7 +114,7 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int =
     )
     lie = Window.partitionBy("sidx", "unit").orderBy("turn_in_shard", "doc_id", "size")
     d = d.withColumn("at", F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    d = d.join(plan, ["sidx", "unit"], "left").withColumn("block", F.lit(block).cast("long"))
+    d = d.join(plan, ["sidx", "unit"], "left")
     again = F.expr(f"aggregate({_BLOCKS}, 0L, (n, b) -> n + if({_PICKED}, {_OVERLAP}, 0L))")
     return d.withColumn("taken", F.when((F.col("size") > 0) & F.col("blocks").isNotNull(), F.col("base") * F.col("size") + F.when(F.col("extra") > 0, again).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long"))
 

@@ -240,3 +240,13 @@ def test_pipeline_drops_similar_documents(spark):
     words = [f"w{k}" for k in range(300)]
     docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join("v" if k in (40, 150, 260) else w for k, w in enumerate(words))), (3, " ".join(words[::-1]))])
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_mixing_small_sources_beside_a_huge_one(spark):
+    sizes = {"a": 20, "b": 60, "c": 100, "d": 400}
+    rows = [(k, "w " * 10, s) for s, n in sizes.items() for k in range(ord(s) * 1000, ord(s) * 1000 + n // 10)]
+    docs = docs_of(spark, rows, ", source string").unionAll(spark.range(1700).select("id", F.expr("repeat('w ', 10000)"), F.lit("z")))
+    by = {r.source_size: r for r in mixing.mix(spark, docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+    assert sum(by) > mixing.BLOCK_WORDS * mixing.BLOCKS
+    assert all(abs(by[n].taken - by[n].target) <= 1 and by[n].target == 2 * n for n in sizes.values())
+    assert abs(by[17_000_000].taken - by[17_000_000].target) <= 0.002 * by[17_000_000].target
