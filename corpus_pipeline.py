@@ -43,10 +43,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's text becomes what the mix takes of it; untaken documents go."""
-    plan = mixing.mix(spark, docs).where("taken > 0").select("doc_id", "size", "at", "block", "base", "extra", "blocks", "step", "turn", "taken")
-    plan = save(spark, plan, "mix").dropDuplicates(["doc_id"])
-    out = docs.join(plan, "doc_id").withColumn("text", mixing.taken_text())
+    """Each document's text becomes what the mix takes of it; untaken documents go. Rows of null or
+    repeated doc_id are documents of their own."""
+    rows = save(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = mixing.mix(spark, rows, keep=("_row",)).where("taken > 0").select("_row", "size", "at", "block", "base", "extra", "blocks", "step", "turn", "taken")
+    plan = save(spark, plan, "mix")
+    out = rows.join(plan, "_row").withColumn("text", mixing.taken_text())
     return _text(out, docs.columns)
 
 

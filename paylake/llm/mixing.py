@@ -81,10 +81,10 @@ def apportion(units: DataFrame, by: list[str], unit: list[str], weight: Column,
     return u.join(won, keys, "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_w", "_m", "_q", "_all", "_low", "_left", "_won")
 
 
-def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row; also unit, at, block, base, extra,
+def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row, and its ``keep`` columns; also unit, at, block, base, extra,
     blocks, step and turn, from which ``taken_text`` cuts."""
-    sized = save(spark, docs.select("doc_id", "source", words("text").alias("size")), "sizes")
+    sized = save(spark, docs.select("doc_id", "source", words("text").alias("size"), *keep), "sizes")
     targets = save(spark, source_targets(sized, share, most, weights), "targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(BLOCK_WORDS, total // BLOCKS))
@@ -95,7 +95,7 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int =
     seats = seats.select("source", "sidx", "source_size", "target", "block", F.round(F.col("words") / F.col("block")).cast("long").alias("seats"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("shards"))
     if n_sources <= FEW_SOURCES:
         seats = F.broadcast(seats)
-    d = sized.join(seats, sized["source"].eqNullSafe(seats["source"])).select("doc_id", "size", "sidx", "source_size", "target", "block", "seats", "shards", _hash(F.col("doc_id")).alias("turn_in_shard"))
+    d = sized.join(seats, sized["source"].eqNullSafe(seats["source"])).select("doc_id", "size", *keep, "sidx", "source_size", "target", "block", "seats", "shards", _hash(F.col("doc_id")).alias("turn_in_shard"))
     d = d.withColumn("unit", F.col("turn_in_shard") % F.col("shards"))
 
     units = save(spark, d.groupBy("sidx", "unit", "seats", "block").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("unit") / GROUP)).withColumn("blocks", F.ceil(F.col("words") / F.col("block"))), "shards")
@@ -112,7 +112,7 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, most: int =
         F.element_at(F.array(*[F.lit(p).cast("long") for p in (2654435761, 2246822519, 3266489917)]), (h % 3 + 1).cast("int")).alias("step"),
         (h % F.col("blocks")).alias("turn"),
     )
-    lie = Window.partitionBy("sidx", "unit").orderBy("turn_in_shard", "doc_id", "size")
+    lie = Window.partitionBy("sidx", "unit").orderBy("turn_in_shard", "doc_id", "size", *keep)
     d = d.withColumn("at", F.sum("size").over(lie.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     d = d.join(plan, ["sidx", "unit"], "left")
     again = F.expr(f"aggregate({_BLOCKS}, 0L, (n, b) -> n + if({_PICKED}, {_OVERLAP}, 0L))")

@@ -250,3 +250,24 @@ def test_mixing_small_sources_beside_a_huge_one(spark):
     assert sum(by) > mixing.BLOCK_WORDS * mixing.BLOCKS
     assert all(abs(by[n].taken - by[n].target) <= 1 and by[n].target == 2 * n for n in sizes.values())
     assert abs(by[17_000_000].taken - by[17_000_000].target) <= 0.002 * by[17_000_000].target
+
+
+def test_pipeline_mixes_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None if k % 5 == 0 else k // 2, " ".join(f"d{k}w{j}" for j in range(k % 90 + 1)), "ab"[k % 2]) for k in range(400)]
+    docs = docs_of(spark, rows, ", source string")
+    got = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    whole = {t.split()[0].split("w")[0]: (i, t.split(), s) for i, t, s in rows}
+    seen, taken = set(), {"a": 0, "b": 0}
+    for r in got:
+        words = r.text.split()
+        key = words[0].split("w")[0]
+        i, all_words, s = whole[key]
+        assert (r.doc_id, r.source) == (i, s) and set(words) <= set(all_words) and key not in seen
+        seen.add(key)
+        taken[s] += len(words)
+    target = {r.source_size: r.target for r in mixing.mix(spark, docs).select("source_size", "target").distinct().collect()}
+    for s in "ab":
+        want = target[sum(len(t.split()) for _, t, x in rows if x == s)]
+        assert abs(taken[s] - want) <= 0.02 * want
