@@ -31,7 +31,7 @@ from .shared import release, without
 
 BUCKETS = 1 << 15
 MOST_ROWS = 3000  # labelled rows that the weights and the temperature are fitted on
-MOST_LANGUAGES = 500
+MOST_LANGUAGES = 500  # the most frequent labels; the others are not learned and never predicted
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 SCALE = 100.0  # of the values; steadies the step sizes
