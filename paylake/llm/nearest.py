@@ -6,15 +6,15 @@ batches of vectors search the graph so far for neighbours, and pruning relaxed b
 diverse ones. An audit of each shard compares a sample of its own vectors with brute force and
 widens that shard's beam until ``AUDIT`` of their neighbours are found. Queries come in blocks;
 every block searches every shard by beam search, candidates are scored again in double precision on
-the original vectors, and the best 20 of all shards remain. Shards and blocks are files in the
-shared folder; a task holds one shard and one block.
+the original vectors, and the best 20 of all shards remain: first of those that a task searches, then of
+all. Shards and blocks are files in the shared folder; a task holds one shard and one block at a time.
 
 Equal vectors are one node that carries its smallest ids, so a vector with very many copies neither
 fills the beams nor one task.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
-those of another dimension than most have, nor null ids. Rows that repeat a vec_id count once (the
-least vector). Ties go to the smaller vec_id. With fewer candidates than 20 all found are returned;
+those of another dimension than most of ``vectors`` have, be they queries or candidates, nor null ids. Rows that repeat a vec_id count once (the
+least vector). Other columns, whatever their names, play no part. Ties go to the smaller vec_id. With fewer candidates than 20 all found are returned;
 an empty table gives none.
 """
 
@@ -24,26 +24,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graphs import Vamana, packed, unpacked
 from .shared import FileCache, read_file, save, shared_folder, write_file
 
 TOP = 20
-SHARD, LEAST_SHARDS = 1 << 15, 16
-BLOCK, LEAST_BLOCKS = 2048, 2
+SHARD, LEAST_SHARDS = 1 << 15, 12
+BLOCK, LEAST_BLOCKS = 1024, 2
+LEAST_TASKS, MOST_MERGED = 64, 32  # a task searches several shards for a block, so many as leave LEAST_TASKS tasks
 WIDTH, AUDIT, AUDITED = 64, 0.97, 64
 MOST_TASKS = 20_000
 
 
-def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The rows that take part, by the rules above; the vector as array of double or float."""
+def is_usable(vec_col: str = "embedding") -> Column:
+    """True for vectors that are not null or zero and hold finite components only."""
     v = F.col(vec_col)
-    ok = F.forall(v, lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    good = df.where(F.col(id_col).isNotNull() & F.coalesce(ok, F.lit(False)) & ~F.exists(v, lambda e: F.isnan(e)))
-    dims = good.groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size(vec_col) == dims.d) if dims else good.limit(0)
+    ok = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+def dimension(df: DataFrame, vec_col: str = "embedding") -> int:
+    """The commonest number of components of usable vectors (of equally common ones the least); 0 if there is none."""
+    dims = df.where(is_usable(vec_col)).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return dims.d if dims else 0
+
+
+def usable(df: DataFrame, dim: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The rows that take part, by the rules above."""
+    good = df.where(F.col(id_col).isNotNull())
+    return good.where(is_usable(vec_col) & (F.size(vec_col) == (dimension(good, vec_col) if dim is None else dim)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -112,7 +123,8 @@ def write_blocks(queries: DataFrame, blocks: int, folder: str) -> list[int]:
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, top: int = TOP, shard: int = SHARD, width: int = WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` found for each query among the vectors of other ids.
     Both have vec_id and embedding."""
-    once = lambda df: usable(df.select("vec_id", "embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    dim = dimension(vectors.where("vec_id is not null"))
+    once = lambda df: usable(df.select("vec_id", "embedding"), dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # rank limits are applied before and after the shuffle: a vector's copies never meet in one task
     w = Window.partitionBy("embedding").orderBy("vec_id")
     least = once(vectors).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)
@@ -122,32 +134,36 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, top: in
     blocks = max(LEAST_BLOCKS, -(-asked.count() // BLOCK))
     at, ask = shared_folder(spark, "graphs"), shared_folder(spark, "blocks")
     have, want = build_shards(spark, classes, shards, at, top, width), write_blocks(asked, blocks, ask)
-    n = len(have) * len(want)
+    if not have or not want:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    merged = max(1, min(MOST_MERGED, len(have) * len(want) // LEAST_TASKS))
+    groups = -(-len(have) // merged)
+    n = groups * len(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = FileCache(lambda uri: unpacked(read_file(uri)), 2)
+        files = FileCache(lambda uri: unpacked(read_file(uri)), 1)
         for b in batches:
             for k in b.column(0).to_pylist():
-                s, q = files.get(f"{at}/{have[k // len(want)]}"), files.get(f"{ask}/{want[k % len(want)]}")
-                g = Vamana(s["x"], s["adj"], int(s["entry"]))
-                for a in range(0, len(q["ids"]), 256):
-                    ids, v = q["ids"][a : a + 256], q["v"][a : a + 256]
-                    unit = v / np.sqrt(exact(v, v))[:, None]
-                    found, _ = g.search(np.c_[unit, np.zeros(len(v))].astype(np.float32), int(s["wide"]))
-                    score = exact(s["v"][np.maximum(found, 0)], v[:, None, :])
-                    rows = np.repeat(np.arange(len(ids)), found.shape[1] * (top + 1))
-                    other = s["ids"][np.maximum(found, 0)].reshape(-1)
-                    score = np.repeat(score.ravel(), top + 1)
-                    ok = (other >= 0) & np.repeat(found.ravel() >= 0, top + 1) & (other != ids[rows])
-                    rows, other, score = rows[ok], other[ok], score[ok]
+                q = unpacked(read_file(f"{ask}/{want[k // groups]}"))
+                ids, unit = q["ids"], q["v"] / np.sqrt(exact(q["v"], q["v"]))[:, None]
+                unit = np.c_[unit, np.zeros(len(ids))].astype(np.float32)
+                rows, other, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                for name in have[(k % groups) * merged : (k % groups + 1) * merged]:
+                    s = files.get(f"{at}/{name}")
+                    g = Vamana(s["x"], s["adj"], int(s["entry"]))
+                    for a in range(0, len(ids), 256):
+                        found, _ = g.search(unit[a : a + 256], int(s["wide"]))
+                        r = np.repeat(np.arange(a, a + len(found)), found.shape[1] * (top + 1))
+                        o = s["ids"][np.maximum(found, 0)].reshape(-1)
+                        p = np.repeat(exact(s["v"][np.maximum(found, 0)], q["v"][a : a + 256, None, :]).ravel(), top + 1)
+                        ok = (o >= 0) & np.repeat(found.ravel() >= 0, top + 1) & (o != ids[r])
+                        rows, other, score = np.r_[rows, r[ok]], np.r_[other, o[ok]], np.r_[score, p[ok]]
                     o = np.lexsort((other, -score, rows))
                     rows, other, score = rows[o], other[o], score[o]
-                    first = np.searchsorted(rows, rows)
-                    ok = np.arange(len(rows)) - first < top
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]]), pa.array(other[ok]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
+                    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < top
+                    rows, other, score = rows[best], other[best], score[best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(other), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = spark.range(0, n, 1, min(n, MOST_TASKS)).mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

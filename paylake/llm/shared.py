@@ -121,3 +121,25 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops input columns whose names (in any case) clash with output columns."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+#: A key that holds this share of all rows is hot; there are 1 / HOT of them at most.
+HOT = 0.001
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join on ``keys`` where ``count`` in ``small`` (one row a key, keys not null) is the number of
+    rows that ``big`` has of the key. Keys with more than ``HOT`` of all rows, 1 / HOT at most, are sent
+    to the rows; the others are too small to make a task large."""
+    least = F.lit(HOT) * F.lit(small.agg(F.sum(count)).first()[0] or 0)
+    hot, rest = small.where(F.col(count) > least).drop(count), small.where(F.col(count) <= least).drop(count)
+    others = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(others.join(rest, keys))

@@ -1,47 +1,49 @@
-"""Documents of like wording: SimHash candidates on a wide ring, checked on their exact shingles.
+"""Documents of like wording: SimHash over five-word shingles at a similarity of 0.8, checked exactly.
 
 A document is its set of word shingles (XXH64, as in ``simhash``). Its fingerprint has 128 bits, the
-votes of the hashes and of a mix of them. Two documents are linked if the Jaccard similarity of
-their sets is ``similarity`` at least; candidates are the pairs within ``bits`` bits. At a similarity
-of 0.8 about 19 of 128 bits differ (standard deviation 4), so 32 bits lose about one in a thousand
-of the pairs at exactly 0.8 and hardly any above; what passes by chance is refused by the exact check.
-
-The ring has ``segments`` segments: if the whole differs in at most ``bits`` bits, some segment does
-in at most bits / segments. So wide a budget leaves no segment to join on. Sets of so different sizes
-that they cannot be similar are never compared: sizes fall into classes one ``similarity`` wide, and
-only blocks of equal or next classes meet. Work grows with the square of a class, at some
-nanoseconds a pair.
-
-Equal sets are one node. A node names ``MOST`` candidates in a block at most; where that cut some
-short, rounds follow over nodes not yet linked, in another order, and at last all candidates that
-still lie in different components are checked, so none is lost and a large group of near copies is
-not expanded into its pairs.
-
-Defined results: wordless texts are one node; a text with fewer words than a shingle is one shingle;
-null doc_ids are nobody's smallest id.
+votes of the hashes and of a mix of them. Two documents are linked if the Jaccard similarity of their
+sets is ``similarity`` at least.
+
+At a similarity of 0.8 about 19 of 128 bits differ (standard deviation 4), so the Hamming budget is
+``BITS`` = 32. So wide a budget leaves pigeonring without a key to join on: no chain has an equal
+segment of more than a few bits. Candidates are therefore the documents that share a band of min-hashes
+(``BANDS`` bands of ``ROWS``: a pair at exactly 0.8 shares none with a chance of 2 in 10,000), and the
+ring prunes them: some segment must start a chain whose first l segments differ in at most
+l * bits / segments bits for every l; then come the full Hamming check and the exact check.
+
+Equal sets are one node. First each node of a band meets one pivot of it, which links most of a large
+group of near copies; more rounds with other pivots follow while bands hold many pairs of different
+components. At last all pairs of a band that still lie in different components are compared, in
+groups of ``GROUP`` nodes, so no candidate is lost and a large group of copies is not expanded into
+its pairs.
+
+Defined results: wordless texts are one node; a text with fewer words than a shingle is one shingle; texts
+of any length are taken whole; repeated rows are rows of their own, and one of them is kept. Null
+doc_ids are nobody's smallest id; they are kept only where a component has no other, the first row of
+it. An empty table gives an empty table. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import FileCache, read_file, release, save, shared_folder, write_file
+from .shared import join_hot, release, save
 from .simhash import LOWER, SEED
 
-WORDS, SIMILARITY, BITS, SEGMENTS = 5, 0.8, 32, 4
-BLOCK = 1 << 14  # nodes
-MOST, ROUNDS, FEW = 16, 4, 64  # FEW: so many candidates a node are checked at once
-AT_ONCE = 1 << 18  # pairs compared at a time
-TASKS = 512
-_NODE = np.dtype([("node", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("f0", "<u8"), ("f1", "<u8")])
+WORDS, SIMILARITY, BITS, SEGMENTS = 5, 0.8, 32, 8
+BANDS, ROWS = 16, 4
+ROUNDS, FEW = 6, 4  # pivot rounds end when bands hold at most FEW pairs of different components a node
+GROUP = 256
+SALTED = 4096  # pairs of a node that are checked in one task
+SMALL = 1_000_000  # so many keys of rows (8 bytes each) are broadcast; more are joined
+STEP = 1 << 14  # shingles min-hashed at a time
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -73,156 +75,150 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+_ODD = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes; none for an empty set."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    x = _mix(h ^ np.uint64(0x9E3779B97F4A7C15))
+    for k in range(0, len(x), STEP):
+        low = np.minimum(low, (x[k : k + STEP, None] * _ODD).min(0))
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(low.astype("<u8").reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
 def node_of(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes())).astype(np.int64))
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
+
+
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, size, f0, f1 of (doc_id, text)."""
+    """doc_id, row, node, size, f0, f1, bands of (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.zeros(b.num_rows, _NODE)
-            for k, x in enumerate(b.column(1)):
-                h = shingles(x.as_py(), words)
-                f = fingerprint(h)
-                rows[k] = node_of(h), 0, len(h), *f
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(rows[c]).view(np.int64)) for c in ("node", "size", "f0", "f1")]], names=["doc_id", "node", "size", "f0", "f1"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                rows, keys = np.zeros((b.num_rows, 4), np.uint64), []
+                for j, x in enumerate(b.column(2)):
+                    h = shingles(x.as_py(), words)
+                    rows[j, 0], rows[j, 1] = np.int64(node_of(h)).astype(np.uint64), len(h)
+                    rows[j, 2], rows[j, 3] = map(np.uint64, fingerprint(h))
+                    keys.append(bands(h))
+                cols = [pa.array(np.ascontiguousarray(rows[:, c]).view(np.int64)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, _lists(keys)], names=["doc_id", "row", "node", "size", "f0", "f1", "bands"])
         release()
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, f0 long, f1 long")
+    return docs.mapInArrow(run, "doc_id long, row long, node long, size long, f0 long, f1 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, hashes of (doc_id, text)."""
+    """row, hashes of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
-                sets = [shingles(x.as_py(), words) for x in whole.column(1).slice(k, 500)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), lists], names=["node", "hashes"])
+                b = whole.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(x.as_py(), words) for x in b.column(1)])], names=["row", "hashes"])
         release()
 
-    return docs.mapInArrow(run, "node long, hashes array<long>")
-
-
-def _near(a: np.ndarray, b: np.ndarray, same: bool, bits: int, segments: int, similarity: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in ``a`` and ``b`` (sorted by size) of the candidates of two blocks, or of one, ``most`` of a
-    place in ``a``; and how many more that place has."""
-    part = np.dtype(f"<u{16 // segments}")
-
-    def ring(x):
-        return np.stack([x["f0"], x["f1"]], 1).view(part)
-
-    ra, rb = ring(a), np.ascontiguousarray(ring(b).T)
-    least, sizes = bits // segments, b["size"]
-    k = 0
-    while k < len(a):
-        lo = max(k if same else 0, int(np.searchsorted(sizes, math.floor(a["size"][k] * similarity))))
-        z = min(len(a), k + max(1, AT_ONCE // max(1, len(b) - lo)))
-        hi = int(np.searchsorted(sizes, math.ceil(a["size"][z - 1] / similarity), "right"))
-        if lo < hi:
-            some = np.bitwise_count(ra[k:z, 0, None] ^ rb[0, lo:hi]) <= least
-            for i in range(1, segments):
-                some |= np.bitwise_count(ra[k:z, i, None] ^ rb[i, lo:hi]) <= least
-            crowded = np.count_nonzero(some) * 16 > some.size
-            if crowded:  # whole rows are cheaper than their hits one by one, of which only some are wanted
-                some &= np.bitwise_count(a["f0"][k:z, None] ^ b["f0"][lo:hi]) + np.bitwise_count(a["f1"][k:z, None] ^ b["f1"][lo:hi]) <= bits
-                some &= a["comp"][k:z, None] != b["comp"][lo:hi]
-                if same:
-                    some &= np.arange(k, z)[:, None] < np.arange(lo, hi)
-                some &= np.minimum(a["size"][k:z, None], sizes[lo:hi]) >= similarity * np.maximum(a["size"][k:z, None], sizes[lo:hi]) - 1e-6
-                all_hits = np.count_nonzero(some, axis=1)
-                if most is not None:
-                    some &= np.cumsum(some, axis=1, dtype=np.int32) <= most
-            x, y = np.nonzero(some)
-            x, y = x + k, y + lo
-            if not crowded:
-                p, q = a[x], b[y]
-                fit = np.bitwise_count(p["f0"] ^ q["f0"]) + np.bitwise_count(p["f1"] ^ q["f1"]) <= bits
-                fit &= (p["comp"] != q["comp"]) & (np.minimum(p["size"], q["size"]) >= similarity * np.maximum(p["size"], q["size"]) - 1e-6)
-                if same:
-                    fit &= x < y
-                x, y = x[fit], y[fit]
-                all_hits = np.bincount(x - k, minlength=z - k)
-                if most is not None:
-                    few = np.arange(len(x)) - np.searchsorted(x, x) < most  # x ascends
-                    x, y = x[few], y[few]
-            more = all_hits[x - k] - np.bincount(x - k, minlength=z - k)[x - k]
-            first = np.searchsorted(x, x) == np.arange(len(x))
-            yield x, y, np.where(first, more, 0)
-        k = z
-
-
-def candidates(spark: SparkSession, nodes: DataFrame, bits: int, segments: int, similarity: float, most: int | None, turn: int = 0) -> DataFrame:
-    """a, b, more: pairs of nodes of different ``comp`` within ``bits``, ``most`` of a node with a block;
-    the sum of ``more`` is the number of the others."""
-    nodes = nodes.where("size > 0").withColumn("cls", F.floor(F.log(F.col("size")) / F.lit(-math.log(similarity) * (1 + 1e-9))).cast("int"))
-    counts = nodes.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    folder = shared_folder(spark, "blocks")
-
-    def write(t: pa.Table) -> pa.Table:
-        rows = np.zeros(t.num_rows, _NODE)
-        for c in _NODE.names:
-            rows[c] = t.column(c).to_numpy().view(_NODE[c])
-        cls, block = t.column("cls")[0].as_py(), t.column("block")[0].as_py()
-        # within a size, another order each turn
-        rows = rows[np.lexsort((_mix(rows["node"].view(np.uint64) + np.uint64(turn)), rows["size"]))]
-        write_file(f"{folder}/{cls}-{block}", rows.tobytes())
-        return pa.table({"cls": pa.array([cls], pa.int32()), "block": pa.array([block], pa.int64())})
-
-    dealt = nodes.join(F.broadcast(counts), "cls").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
-    made = save(spark, dealt.groupBy("cls", "block").applyInArrow(write, "cls int, block long"), "made")
-    other = made.select(F.col("cls").alias("cls2"), F.col("block").alias("block2"))
-    pairs = made.join(other, F.col("cls") == F.col("cls2")).where("block <= block2").unionAll(made.join(other, F.col("cls") + 1 == F.col("cls2")))
-    pairs = save(spark, pairs, "pairs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = FileCache(lambda uri: np.frombuffer(read_file(uri), _NODE), 4)
-        for batch in batches:
-            for r in batch.to_pylist():
-                one, two = (r["cls"], r["block"]), (r["cls2"], r["block2"])
-                a, b = (cache.get(f"{folder}/{c}-{k}") for c, k in (one, two))
-                for x, y, more in _near(a, b, one == two, bits, segments, similarity, most):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(a["node"][x]), pa.array(b["node"][y]), pa.array(more.astype(np.int64))], names=["a", "b", "more"])
-        release()
-
-    return save(spark, pairs.repartition(max(1, min(TASKS, pairs.count() // 4))).mapInArrow(run, "a long, b long, more long"), "candidates")
-
-
-def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, segments: int = SEGMENTS, most: int = MOST) -> DataFrame:
-    """doc_id, fingerprint (32 hex digits) and component_id of every document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(run, "row long, hashes array<long>")
+
+
+def may_be_similar(a: str, b: str, bits: int, similarity: float) -> Column:
+    """Of two struct columns (node, size, f0, f1): sizes fit, the ring has a chain, and the whole differs in
+    at most ``bits`` bits."""
+    differ = [F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")) for f in ("f0", "f1")]
+    width = 128 // SEGMENTS
+    d = [F.bit_count(F.shiftrightunsigned(w, width * i).bitwiseAND(F.lit((1 << width) - 1))) for w in differ for i in range(64 // width)]
+    chain = F.lit(False)
+    for i in range(SEGMENTS):
+        sums, ok = F.lit(0), F.lit(True)
+        for n in range(SEGMENTS):
+            sums = sums + d[(i + n) % SEGMENTS]
+            ok = ok & (sums <= (n + 1) * bits // SEGMENTS)
+        chain = chain | ok
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    whole = F.bit_count(differ[0]) + F.bit_count(differ[1]) <= bits
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & chain & whole
+
+
+def _pivot_pairs(shared: DataFrame, turn: int, bits: int, similarity: float) -> DataFrame:
+    """Each node of a band with one pivot of it, of another component."""
+    turned = F.xxhash64("comp", F.lit(turn)) if turn else F.col("x.node")
+    pivots = shared.groupBy("band").agg(F.min(F.struct(turned.alias("turned"), "comp", "x")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    met = shared.join(pivots.select("band", F.col("p.comp").alias("pcomp"), F.col("p.x").alias("y")), "band")
+    return met.where((F.col("comp") != F.col("pcomp")) & may_be_similar("x", "y", bits, similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _open_pairs(shared: DataFrame) -> int:
+    """Pairs of different components that bands hold."""
+    n = shared.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return n.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+
+
+def _all_pairs(shared: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """All pairs of different components of each band. The nodes of a band are dealt to groups of ``GROUP``, and
+    each pair of groups is joined on a key of its own, so a band of any size is many small joins."""
+    sizes = shared.groupBy("band").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "groups")
+    dealt = shared.join(sizes, "band").withColumn("g", F.pmod(F.xxhash64("x.node"), F.col("groups")))
+    left = dealt.select("band", F.explode(F.expr("sequence(g, groups - 1)")).alias("j"), F.col("g").alias("i"), F.col("comp").alias("ca"), F.col("x"))
+    right = dealt.select("band", F.col("g").alias("j"), F.explode(F.expr("sequence(0L, g)")).alias("i"), F.col("comp").alias("cb"), F.col("x").alias("y"))
+    other = (F.col("ca") != F.col("cb")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node")))
+    return left.join(right, ["band", "i", "j"]).where(other & may_be_similar("x", "y", bits, similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fingerprint (32 hex digits), component_id and kept of every document. ``row_col``: a
+    column that numbers the rows; without it they are numbered here. Kept is one row of each component,
+    that of the smallest doc_id."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row") if row_col else F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    if not row_col:
+        texts = save(spark, texts, "texts")
     rows = save(spark, _nodes(texts, words), "nodes")
-    nodes = save(spark, rows.groupBy("node").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.min("doc_id").alias("rep")), "distinct")
+    x = F.struct("node", "size", "f0", "f1").alias("x")
+    nodes = save(spark, rows.groupBy("node").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct")
+    # nodes of several rows bring the same bands, so only those of their first row count
+    banded = rows.join(nodes.where("n > 1").select("node", F.col("row").alias("first")), "node", "left").where("first is null or row = first").select(x, F.explode("bands").alias("band"))
+    often = banded.groupBy("band").agg(F.count("*").alias("n")).where("n >= 2").select("band")
+    shared = save(spark, banded.join(often, "band").withColumn("comp", F.col("x.node")), "bands")
 
     def check(found: DataFrame) -> DataFrame:
         """The candidates that are similar."""
-        ends = save(spark, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), "ends")
-        reps = nodes.join(ends, "node").select(F.col("rep").alias("doc_id")).distinct()
-        # repeated or null ids bring other texts along; their nodes are not asked for
-        sets = _sets(texts.join(reps, texts["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi"), words)
-        sets = save(spark, sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+        found = save(spark, found, "candidates")
+        ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+        ends = save(spark, nodes.select("node", "row").join(ends, "node").withColumn("salts", F.ceil(F.col("n") / SALTED)), "ends")
+        wanted = ends.select("row")
+        sets = _sets(texts.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "row", "left_semi"), words)
+        sets = save(spark, ends.join(sets, "row").select("node", "salts", "hashes"), "sets")
+        # a node of many pairs is sent to several tasks
+        turn = lambda own, salts: F.pmod(F.xxhash64(own), F.col(salts))
+        for end, other in (("a", "b"), ("b", "a")):
+            found = found.join(ends.select(F.col("node").alias(end), F.col("salts").alias(f"s{end}")), end).withColumn(f"s{end}", turn(other, f"s{end}"))
+        of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"), F.explode(F.expr("sequence(0L, salts - 1)")).alias(f"s{end}"))
         both = F.size(F.array_intersect("ha", "hb"))
         of_all = F.size("ha") + F.size("hb") - both
-        return save(spark, found.join(x, "a").join(y, "b").where(both >= F.lit(similarity) * of_all - 1e-6).select("a", "b"), "similar")
+        return save(spark, found.join(of("a"), ["a", "sa"]).join(of("b"), ["b", "sb"]).where(both >= F.lit(similarity) * of_all - 1e-6).select("a", "b"), "similar")
 
-    edges, comp, left = None, None, None
+    few, edges, comp = FEW * nodes.count(), None, None
     for turn in range(ROUNDS + 1):
-        whole = turn == ROUNDS or (left is not None and left <= FEW * nodes.count())
-        labelled = nodes.withColumn("comp", F.col("node")) if comp is None else nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        found = candidates(spark, labelled.select("node", "comp", "size", "f0", "f1"), bits, segments, similarity, None if whole else most, turn)
-        new = check(found)
+        last = turn == ROUNDS or (turn > 0 and _open_pairs(shared) <= few)
+        new = check(_all_pairs(shared, bits, similarity) if last else _pivot_pairs(shared, turn, bits, similarity))
         edges = new if edges is None else edges.unionAll(new)
         comp = save(spark, connected_components(spark, edges), "components")
-        left = found.agg(F.sum("more")).first()[0]
-        if not left:
+        if last:
             break
-    labelled = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = labelled.join(least, "component").select("node", "component_id")
+        shared = save(spark, shared.drop("comp").join(comp.select(F.col("node").alias("_n"), "component"), F.col("x.node") == F.col("_n"), "left").select("band", "x", F.coalesce("component", "x.node").alias("comp")), "bands")
+    labelled = nodes.join(comp, "node", "left").select("node", "n", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = save(spark, labelled.join(least, "component").select("node", "n", "component", "component_id"), "labels")
     digits = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("f1", "f0")])
-    return rows.join(of_node, "node").select("doc_id", F.lower(digits).alias("fingerprint"), "component_id")
+    out = join_hot(rows.select("doc_id", "row", "node", "f0", "f1"), of_node, ["node"], "n")
+    firsts = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"), F.count("*").alias("n")).select("component", "n", F.col("m.row").alias("first"))
+    kept = save(spark, firsts, "kept")
+    return join_hot(out, kept, ["component"], "n").select("doc_id", "row", F.lower(digits).alias("fingerprint"), "component_id", (F.col("row") == F.col("first")).alias("kept"))

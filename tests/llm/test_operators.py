@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paylake.llm import embedding_dedup, language_id, line_dedup, mixing, nearest, similar, simhash, toxicity, warc
 from paylake.llm.components import connected_components
+from paylake.llm.graphs import HNSW
 
 SF = "/root/testdata/sf0.001"
 L = "A Line of Text that is Long Enough to Count, " * 2
@@ -55,7 +56,17 @@ def test_simhash_links_of_near_fingerprints(spark):
             fps.add(g - (1 << 64) if g >> 63 else g)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     near = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    assert {(r.a, r.b) for r in simhash.links(spark, df).collect()} == near
+    for crowd in (simhash.CROWD, 1):  # 1: every shared key is split as far as it goes
+        assert {(r.a, r.b) for r in simhash.links(spark, df, crowd).collect()} == near
+
+
+def test_simhash_crowd_of_near_fingerprints(spark):
+    """All at most three bits from one, so all keys are crowded."""
+    rng = np.random.default_rng(4)
+    fps = {0} | {sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 4), replace=False)) for _ in range(900)}
+    near = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    got = [(r.a, r.b) for r in simhash.links(spark, spark.createDataFrame([(f,) for f in fps], "fp long"), 16).collect()]
+    assert set(got) == near and len(got) == len(near)
 
 
 def test_components(spark):
@@ -85,9 +96,38 @@ def test_mixing(spark):
     assert (zero.size, zero.taken, zero.target) == (0, 0, 0.0)
 
 
+def test_apportionment_against_a_heap(spark):
+    rng = np.random.default_rng(3)
+    cases = [([1000.0] + [0.4] * 500, 1200, [10**9] * 501), ([1.0] * 300, 1000, [10] * 300), (rng.uniform(0, 100, 400).tolist(), 5000, rng.integers(0, 40, 400).tolist())]
+    cases += [([5.0, 0.0, 3.0], 7, [2, 5, 3]), ([1e6, 1.0, 2.0], 2_000_000, [2_000_000, 2, 4]), ([3.0, 7.0], 0, [5, 5]), ([0.0], 3, [4])]
+    rows = [(c, i, float(w), q, int(m)) for c, (ws, q, ms) in enumerate(cases) for i, (w, m) in enumerate(zip(ws, ms))]
+    df = spark.createDataFrame(rows, "c int, i int, w double, q long, m long")
+    by = lambda df, ranked: {(r.c, r.i): r.seats for r in mixing.apportion(spark, df, ["c"], "i", F.col("w"), F.col("q"), F.col("m"), "seats", ranked).collect()}
+    got = by(df, False)
+    for c, case in enumerate(cases):
+        assert [got[c, i] for i in range(len(case[0]))] == mixing.highest_quotients(*case)
+    assert by(df.where("c = 2"), True) == {k: v for k, v in got.items() if k[0] == 2}
+
+
+def test_targets_against_plain_resharing(spark):
+    sizes = {f"s{k:03}": n for k, n in enumerate(np.random.default_rng(6).integers(0, 5000, 60).tolist())} | {"t": 10**6, None: 300}
+    docs = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    names = sorted(k for k in sizes if k) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    stopped: set = set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in stopped)
+        target = {s: 2 * sizes[s] if s in stopped else left * weight[s] / sum(w for x, w in weight.items() if x not in stopped) for s in names}
+        if not (over := {s for s in names if target[s] > 2 * sizes[s]}):
+            break
+        stopped |= over
+    got = {r.source: r.target for r in mixing.source_targets(spark, docs).collect()}
+    assert got == pytest.approx(target)
+
+
 def test_taken_text_has_the_words_taken(spark):
     docs = docs_of(spark, [(k, " ".join(f"d{k}w{j}" for j in range(k % 90 + 1)), "ab"[k % 2]) for k in range(400)], ", source string")
-    plan = mixing.mix(spark, docs).drop("size").join(docs, "doc_id").withColumn("size", mixing.words("text"))
+    plan = mixing.mix(spark, docs).where("size > 0").withColumn("cuts", mixing.cuts()).join(docs, "doc_id")
     for r in plan.select("taken", mixing.taken_text().alias("out")).collect():
         assert len((r.out or "").split()) == r.taken
 
@@ -145,29 +185,92 @@ def test_nearest_odd_vectors(spark):
     got = sorted(tuple(r) for r in nearest.nearest(spark, v, v.where("vec_id = 0")).collect())
     assert got == [(0, 1, 7, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.0)]
     assert nearest.nearest(spark, v.limit(0), v.limit(0)).collect() == []
+    # queries of another dimension than most vectors have take no part
+    mixed = vectors_of(spark, [[1, 0], [0, 1], [1, 1], [1, 0, 0]])
+    assert nearest.nearest(spark, mixed, mixed.where("vec_id = 3")).collect() == []
+    again = v.unionAll(v.where("vec_id in (0, 1)")).unionAll(v.where("vec_id = 7").withColumn("vec_id", F.lit(None).cast("long"))).withColumn("score", F.lit(1))
+    assert sorted(tuple(r) for r in nearest.nearest(spark, again, again.where("vec_id = 0")).collect()) == got
 
 
-@pytest.mark.parametrize("shard", [1024, 60])
+def links_and_components(rows):
+    """{vec_id: (links, component)} by all pairs of (vec_id, vector, label)."""
+    unit = {k: e / np.sqrt(e @ e) for k, e, lab in rows if lab is not None and e is not None and np.isfinite(e).all() and e.any()}
+    lab = {k: t for k, _, t in rows}
+    near = {k: [] for k, _, _ in rows}
+    for t in set(lab.values()):
+        ids = [k for k in unit if lab[k] == t]
+        x = np.array([unit[k] for k in ids])
+        for i, j in zip(*np.nonzero(x @ x.T >= 0.93 if len(ids) else np.zeros((0, 0)))):
+            if i != j:
+                near[ids[i]].append(ids[j])
+    comp = {}
+    for k in sorted(near):
+        todo = [k] if k not in comp else []
+        while todo:
+            if (j := todo.pop()) not in comp:
+                comp[j] = k
+                todo += near[j]
+    return {k: (len(n), comp[k]) for k, n in near.items()}
+
+
+def read_vectors(v):
+    return [(r.vec_id, None if r.embedding is None else np.array(r.embedding), r.label) for r in v.collect()]
+
+
+@pytest.mark.parametrize("shard", [1 << 14, 60])
 def test_embedding_dedup_against_all_pairs(spark, shard):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
-    x = [*(base[rng.integers(60, size=240)] + 0.12 * rng.normal(size=(240, 16))), base[0], base[0], None, np.zeros(16), [float("nan")] * 16]
+    x = [*(base[rng.integers(60, size=240)] + 0.12 * rng.normal(size=(240, 16))), base[0], base[0], None, np.zeros(16), [float("nan")] * 16, [1.0] * 3]
     label = [None if k % 40 == 7 else k % 2 for k in range(len(x))]
     v = vectors_of(spark, x, label)
-    rows = [(r.vec_id, None if r.embedding is None else np.array(r.embedding), r.label) for r in v.collect()]
-    unit = {k: e / np.sqrt(e @ e) for k, e, lab in rows if lab is not None and e is not None and np.isfinite(e).all() and e.any()}
-    lab = {k: t for k, _, t in rows}
-    near = {k: [j for j in unit if j != k and lab[j] == lab[k] and unit[j] @ unit[k] >= 0.93] if k in unit else [] for k, _, _ in rows}
-    comp = {}
-    for k in sorted(near):
-        if k not in comp:
-            todo = [k]
-            while todo:
-                if (j := todo.pop()) not in comp:
-                    comp[j] = k
-                    todo += near[j]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(spark, v, shard=shard).collect()}
-    assert got == {k: (len(n), comp[k], comp[k] == k) for k, n in near.items()}
+    want = links_and_components([r for r in read_vectors(v) if r[0] != len(x) - 1]) | {len(x) - 1: (0, len(x) - 1)}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(spark, v.withColumn("REP", F.lit(1)), shard=shard).collect()}
+    assert got == {k: (n, c, c == k) for k, (n, c) in want.items()}
+    assert embedding_dedup.embedding_dedup(spark, v.limit(0)).collect() == []
+
+
+def test_embedding_dedup_keeps_every_row(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (5, [1.0, 0.0], 1), (5, [1.0, 0.1], 1), (7, [1.0, 0.0], None), (None, None, 2), (3, [1.0, 0.0], 2)]
+    got = embedding_dedup.embedding_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(((-1 if r.vec_id is None else r.vec_id), r.n_links, r.component_id, r.kept) for r in got if r.component_id is not None) == [(-1, 2, 5, False), (3, 0, 3, True), (5, 2, 5, True), (5, 2, 5, True), (7, 0, 7, True)]
+    assert [(r.vec_id, r.n_links, r.kept) for r in got if r.component_id is None] == [(None, 0, True)] * 2
+
+
+def test_embedding_dedup_through_graphs_far_above_the_beam(spark, monkeypatch):
+    """Groups of 2 to 300 vectors; every task searches a graph, and none is compared by brute force."""
+    rng = np.random.default_rng(8)
+    groups = np.repeat(np.arange(700), np.r_[300, 150, np.full(698, 5)])
+    x = (rng.normal(size=(700, 32))[groups] + 0.15 * rng.normal(size=(len(groups), 32))).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = HNSW.build(unit)
+    beam = embedding_dedup.audited(g, unit, np.arange(len(x)), 0.93)
+    assert 0 < beam * 8 < len(x)
+    true = unit @ unit.T >= 0.93
+    got = np.unpackbits(embedding_dedup.candidates(g, unit, np.arange(len(x)), beam, 0.93), axis=1, count=len(x)).view(bool)
+    assert (got & true).sum() >= 0.99 * true.sum()
+    other = (x + 0.01).astype(np.float32)
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    beam = embedding_dedup.audited(g, other, None, 0.93)
+    true = other @ unit.T >= 0.93
+    got = np.unpackbits(embedding_dedup.candidates(g, other, None, beam, 0.93), axis=1, count=len(x)).view(bool)
+    assert 0 < beam * 8 < len(x) and (got & true).sum() >= 0.98 * true.sum()
+    v = vectors_of(spark, x, [0] * len(x))
+    want = links_and_components(read_vectors(v))
+    rows = embedding_dedup.embedding_dedup(spark, v, shard=2000).collect()
+    assert sum(r.n_links for r in rows) >= 0.99 * sum(n for n, _ in want.values())
+    assert np.mean([r.component_id == want[r.vec_id][1] for r in rows]) >= 0.99
+
+
+def test_nearest_recall_in_graphs_far_above_the_beam(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(400, 24))[rng.integers(400, size=6000)] + 0.4 * rng.normal(size=(6000, 24))).astype(np.float32)
+    v = vectors_of(spark, x)
+    got = {}
+    for r in nearest.nearest(spark, v, v.where("vec_id % 40 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest.brute_force(np.arange(6000), x, np.arange(0, 6000, 40))
+    assert np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.95
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -226,11 +329,13 @@ def test_similar_documents_stay_once(spark, monkeypatch):
     least = {c: min((i for (i, _), k in zip(rows, comp) if k == c and i is not None), default=None) for c in comp}
     want = sorted(((-1 if i is None else i), least[c]) for (i, _), c in zip(rows, comp))
     docs = docs_of(spark, rows)
-    for few in (similar.FEW, 0):
-        monkeypatch.setattr(similar, "FEW", few)
-        for most in (similar.MOST, 1):  # 1: rounds follow
-            got = similar.near_documents(spark, docs, most=most).collect()
-            assert sorted(((-1 if r.doc_id is None else r.doc_id), r.component_id) for r in got) == want
+    for rounds, few, group in ((similar.ROUNDS, similar.FEW, similar.GROUP), (0, 0, 2), (2, 0, 3)):  # 0 rounds: all pairs at once
+        for name, value in (("ROUNDS", rounds), ("FEW", few), ("GROUP", group), ("SALTED", 2), ("SMALL", 5 * few)):
+            monkeypatch.setattr(similar, name, value)
+        got = similar.near_documents(spark, docs).collect()
+        assert sorted(((-1 if r.doc_id is None else r.doc_id), r.component_id) for r in got) == want
+        kept = sorted(-1 if r.doc_id is None else r.doc_id for r in got if r.kept)
+        assert len(kept) == len(set(comp)) and {k for k in kept} == {-1 if v is None else v for v in least.values()}
     assert similar.near_documents(spark, docs.limit(0)).collect() == []
 
 
