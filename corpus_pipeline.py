@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylake.llm import byte_bpe, language_id, line_dedup, mixing, similar
-from paylake.llm.shared import save
+from paylake.llm.shared import new_name, save
 
 #: A document goes if no language is found in it at all, or the best one is no likelier than this.
 LEAST_SCORE = 0.3
@@ -34,21 +34,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _text(line_dedup.line_dedup(spark, docs), docs.columns)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, whatever their doc_ids, and its name."""
+    row = new_name(docs, "row_of_docs")
+    return save(spark, docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each component of similar documents (0.8 of their
-    five-word shingles) stays."""
-    found = similar.near_documents(spark, docs)
-    gone = save(spark, found.where("doc_id <> component_id").select("doc_id"), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document (the smallest doc_id; of rows that repeat it, one row) of each component of similar
+    documents (0.8 of their five-word shingles) stays. A row of null doc_id goes only where its component has
+    another."""
+    rows, row = _numbered(spark, docs)
+    gone = similar.near_documents(spark, rows, row_col=row).where("not kept").select(F.col("row").alias(row))
+    return rows.join(save(spark, gone, "copies"), row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's text becomes what the mix takes of it; untaken documents go. Rows of null or
     repeated doc_id are documents of their own."""
-    rows = save(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = mixing.mix(spark, rows, keep=("_row",)).where("taken > 0").select("_row", "size", "at", "block", "base", "extra", "blocks", "step", "turn", "taken")
-    plan = save(spark, plan, "mix")
-    out = rows.join(plan, "_row").withColumn("text", mixing.taken_text())
+    rows, row = _numbered(spark, docs)
+    plan = save(spark, mixing.mix(spark, rows, keep=(row,)).where("taken > 0").select(row, mixing.cuts().alias("cuts")), "mix")
+    out = rows.join(plan.withColumnRenamed(row, "row_of_plan"), F.col(row) == F.col("row_of_plan")).withColumn("text", mixing.taken_text("text", "cuts"))
     return _text(out, docs.columns)
 
 
