@@ -4,8 +4,10 @@ Features are the 1-, 2- and 3-grams of the lower-cased text's code points, hashe
 a document's value is the share of its n-grams in a bucket (term frequency over the whole text)
 times the inverse document frequency of the bucket over all labelled training documents. Weights are
 learned by follow-the-regularised-leader with an elastic net (L1 and L2) on at most ``MOST_ROWS``
-training documents, taken by hash of doc_id and about evenly by language; the share of every fourth
-of them is kept from the weights to fit one temperature that calibrates the probabilities.
+training documents, about evenly by language: each language's rows of least hash, so that none is left
+out. Near copies of one document (``family``) are either learned from or kept for the temperature, never
+both: a fifth of the families is kept from the weights to fit one temperature that calibrates the
+probabilities.
 
 A prediction is linear in n-gram counts, so it is one pass of table look-ups over whole texts, with a
 model of a fixed size. Only text and non-null lang of documents with crc32(doc_id) mod 4 <> 2 are
@@ -13,7 +15,10 @@ learned from; a prediction sees the text alone.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text when
 no labelled document exists. One known language is predicted with score 1. Ties go to the language
-first in code-point order. Repeated rows are predicted alike. An empty table gives an empty table.
+first in code-point order. Repeated rows are predicted alike. Null doc_ids are learned from. A text of any
+length is taken whole, ``STEP`` code points at a time. An empty table gives an empty table. Input columns
+named lang_pred or score are replaced; others are kept. All values of lang are learned; the model has a weight for each
+language and bucket, so it grows with the number of languages (4 MB for 30).
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +36,7 @@ from .shared import release, without
 
 BUCKETS = 1 << 15
 MOST_ROWS = 3000  # labelled rows that the weights and the temperature are fitted on
-MOST_LANGUAGES = 500  # the most frequent labels; the others are not learned and never predicted
+LEAST_ROWS = 8  # of a language, of those that it has; with more than MOST_ROWS / LEAST_ROWS languages the bound is LEAST_ROWS a language
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 SCALE = 100.0  # of the values; steadies the step sizes
@@ -178,19 +183,19 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
     """``docs``: doc_id, text, lang. None if nothing is labelled."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not sizes:
+    sizes = labelled.groupBy("lang").count()
+    langs = sorted(r.lang for r in sizes.collect())  # one row a language, as in the model
+    if not langs:
         return None
-    langs = sorted(sizes)
     if len(langs) == 1:
         return Model(langs, np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
     df, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # each language's chance is such that about equal numbers come; the final limit is a plain top-k by hash
-    each = max(8, most_rows // len(langs))
-    rate = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, each / sizes[lang])))])
-    h = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    picked = labelled.where(F.col("lang").isin(langs) & (F.pmod(h, F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)))
+    # few rows of a frequent language get as far as the ranking: four times as many as are wanted
+    most = max(LEAST_ROWS, most_rows // len(langs))
+    h = F.xxhash64(F.col("doc_id"), F.lit("language"), F.col("text"))
+    some = labelled.join(F.broadcast(sizes), "lang").withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < F.lit(4.0 * most * (1 << 30)) / F.col("count"))
+    picked = some.select("text", "lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,16 +204,25 @@ def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
                 [b.column(1), b.column(2), pa.array([x[0].tobytes() for x in found]), pa.array([(x[1] / max(1, x[1].sum())).astype("<f4").tobytes() for x in found])], names=["lang", "h", "at", "x"]
             )
 
-    rows = picked.select("text", "lang", h.alias("h")).orderBy("h", "lang").limit(most_rows).mapInArrow(run, "lang string, h long, at binary, x binary").collect()
-    rows.sort(key=lambda r: (r.h, r.lang))
+    rows = picked.select("text", "lang", "h").mapInArrow(run, "lang string, h long, at binary, x binary").collect()
+    rows.sort(key=lambda r: (r.h, r.lang, r["at"], r["x"]))
     x = [((at := np.frombuffer(r["at"], "<i4")), np.frombuffer(r["x"], "<f4") * idf[at] * SCALE) for r in rows]
-    y = np.array([langs.index(r.lang) for r in rows])
-    rest = np.array([r.h % 4 == 3 for r in rows], bool)
+    index = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([index[r.lang] for r in rows])
+    rest = np.array([family(at) % 5 == 0 for at, _ in x], bool)
+    if len(set(y[~rest])) < len(langs):  # a language whose few documents are all of kept families
+        rest[:] = False
     w, bias = ftrl([v for v, r in zip(x, rest) if not r], y[~rest], len(langs), BUCKETS)
     z = np.array([v @ w[at] + bias for (at, v), r in zip(x, rest) if r]).reshape(-1, len(langs))
     return Model(langs, w * idf[:, None] * SCALE, bias, fit_temperature(z, y[rest]))
 
 
+def family(at: np.ndarray) -> int:
+    """The least of the mixed buckets: near copies of a document mostly have the same."""
+    h = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)).min()) if len(at) else 0
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score. The model (a few MB at most: BUCKETS x languages) is broadcast."""
     docs = without(docs, "lang_pred", "score")

@@ -5,11 +5,14 @@ are known by 128 bits of hash. One aggregation counts the documents of each key;
 more documents are dealt to shards by hash, and each shard becomes a minimal perfect hash (levels
 of bit arrays with ranks) that indexes three arrays: a 64-bit fingerprint, the number of
 documents, and the largest id holding the line. The shards are files in the shared folder.
-Documents then probe the arrays where they are read: neither lines nor texts are joined or
-shuffled a second time. A key that no shard holds meets a foreign fingerprint and is left alone.
 
-Defined results: a null or empty text has one empty line. Each row is a document of its own, so
-rows that repeat a doc_id each count; all rows with the largest doc_id keep the line. A null
+The documents' line hashes (never lines or texts) are dealt to the shards and probe the arrays there: a task
+reads one shard after another, each once, and a shard with a very common line is several tasks. Only the
+places of lines that go come back, as one file for each partition of the documents, which are then read again
+in place: texts are not shuffled. A key that no shard holds meets a foreign fingerprint and is left alone.
+
+Defined results: a null or empty text has one empty line; a text of any length is taken whole. Each row is a
+document of its own, so rows that repeat a doc_id each count; all rows with the largest doc_id keep the line. A null
 doc_id never holds a line but counts as a document. An empty table gives an empty table. Input
 columns named as an output column are replaced.
 """
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import FileCache, read_file, release, save, shared_folder, without, write_file
+from .shared import FileCache, new_name, open_fs, read_file, release, save, shared_folder, without, write_file
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 KEYS_PER_SHARD = 1 << 18
-LEAST_SHARDS = 64
+LEAST_SHARDS = 16
+PROBES = 1 << 21  # of a shard in one task
 LEVELS = 40
 
 
@@ -119,33 +123,34 @@ class PerfectHash:
         return cls(*parts, head["odd"])
 
 
-def line_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> dict:
-    """Builds the shards over ``docs``; returns their folder and number."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids, lens = [], [], []
-            for text, i in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
-                if text and (own := {k for _, k in line_keys(text, min_chars)}):
-                    keys.extend(own)
-                    ids.append(i)
+def line_hashes(docs: DataFrame, id_col: str, text_col: str, row_col: str, min_chars: int) -> DataFrame:
+    """A row for each line long enough to be dropped: h1, h2, id, row, line and first (of its key in the document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for z in range(0, whole.num_rows, 1000):
+                b = whole.slice(z, 1000)
+                keys, lines, first, lens = [], [], [], []
+                for text in b.column(2).to_pylist():
+                    own, seen = line_keys(text, min_chars) if text else [], set()
+                    for i, k in own:
+                        lines.append(i)
+                        keys.append(k)
+                        first.append(k not in seen)
+                        seen.add(k)
                     lens.append(len(own))
-            if not keys:
-                continue
-            h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            who = np.array([-(2**63) if i is None else i for i in ids], np.int64).repeat(lens)
-            # equal keys of this batch meet before the shuffle
-            order = np.lexsort((h[:, 1], h[:, 0]))
-            h, who = h[order], who[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]).any(1)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first, 0]), pa.array(h[first, 1]), pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.maximum.reduceat(who, first))],
-                names=["h1", "h2", "n", "holder"],
-            )
+                if keys:
+                    h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                    at = pa.array(np.repeat(np.arange(b.num_rows), lens))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(lines, pa.int32()), pa.array(first)], names=["h1", "h2", "id", "row", "line", "first"])
         release()
 
-    lines = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(hashes, "h1 long, h2 long, n long, holder long")
-    often = lines.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where("n >= 2")
+    return docs.select(F.col(id_col).cast("long"), row_col, F.col(text_col).cast("string")).mapInArrow(run, "h1 long, h2 long, id long, row long, line int, first boolean")
+
+
+def line_index(spark: SparkSession, lines: DataFrame) -> dict:
+    """Builds the shards over ``line_hashes``; returns their folder, number, and the tasks that probing each needs."""
+    often = lines.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.coalesce("id", F.lit(-(2**63)))).alias("holder")).where("n >= 2")
     often = save(spark, often, "line-keys")
     shards = max(LEAST_SHARDS, -(-often.count() // KEYS_PER_SHARD))
     folder = shared_folder(spark, "line-index")
@@ -160,58 +165,107 @@ def line_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
             k = s == shard
             data = PerfectHash.build(h1[k].view(np.uint64), h2[k].view(np.uint64), n[k], holder[k]).to_bytes()
             write_file(f"{folder}/{shard}", data)
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard)]), pa.array([int(k.sum())]), pa.array([len(data)])], names=["shard", "keys", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int32()), pa.array([int(k.sum())]), pa.array([int(n[k].sum())]), pa.array([len(data)])], names=["shard", "keys", "lines", "bytes"])
 
     dealt = often.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "n", "holder").repartition(shards, "shard")
-    built = dealt.mapInArrow(build, "shard long, keys long, bytes long").collect()  # one row a shard
-    return {"folder": folder, "shards": shards, "present": {r.shard for r in built}, "bytes": sum(r.bytes for r in built)}
+    built = save(spark, dealt.mapInArrow(build, "shard int, keys long, lines long, bytes long"), "line-shards")  # one row a shard
+    return {"folder": folder, "shards": shards, "built": built}
 
 
-def drop_lines(docs: DataFrame, index: dict, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines gone from the text, and ``n_lines``, ``n_dropped``."""
-    docs = without(docs, "n_lines", "n_dropped")
-    i, t = docs.columns.index(id_col), docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    folder, shards, present = index["folder"], index["shards"], index["present"]
+def dropped(spark: SparkSession, lines: DataFrame, index: dict, min_docs: int) -> DataFrame:
+    """row and line of the lines that go."""
+    folder, shards = index["folder"], index["shards"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = FileCache(lambda uri: PerfectHash.from_bytes(read_file(uri)))
+        cache = FileCache(lambda uri: PerfectHash.from_bytes(read_file(uri)), 2)
         for b in batches:
-            texts = b.column(t).to_pylist()
-            found = [line_keys(x, min_chars) if x else [] for x in texts]
-            row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
-            line = np.array([i for x in found for i, _ in x], np.int64)
-            h = np.frombuffer(b"".join(k for x in found for _, k in x), "<u8").reshape(-1, 2)
-            ids = b.column(i).cast(pa.int64())
-            doc, known = ids.fill_null(0).to_numpy(zero_copy_only=False)[row], np.asarray(ids.is_valid())[row]
+            shard, h1, h2, row, line = (b.column(k).to_numpy() for k in range(5))
+            ids = b.column(5).fill_null(0).to_numpy(zero_copy_only=False)
+            known = np.asarray(b.column(5).is_valid())
             gone = np.zeros(len(row), bool)
-            shard = np.mod(h[:, 0].view(np.int64), shards)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-                if (s := int(shard[part[0]])) not in present:
-                    continue
+            for s in np.unique(shard):
+                k = np.flatnonzero(shard == s)
                 x = cache.get(f"{folder}/{s}")
-                at = x.find(h[part, 0], h[part, 1])
-                k, at = part[at >= 0], at[at >= 0]
-                gone[k] = (x.count[at] >= min_docs) & ~(known[k] & (x.holder[at] == doc[k]))
-            n_dropped = np.bincount(row[gone], minlength=len(texts))
-            cut: dict[int, set[int]] = {}
-            for r, n in zip(row[gone].tolist(), line[gone].tolist()):
-                cut.setdefault(r, set()).add(n)
-            n_lines = [x.count("\n") + 1 if x else 1 for x in texts]
-            for r, off in cut.items():
-                texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in off)
-            cols = [pa.array(texts, b.column(t).type) if k == t else b.column(k) for k in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped.astype(np.int64))], names=schema.names)
-            del b, texts, found, cols
-            release()
+                at = x.find(h1[k].view(np.uint64), h2[k].view(np.uint64))
+                k, at = k[at >= 0], at[at >= 0]
+                gone[k] = (x.count[at] >= min_docs) & ~(known[k] & (x.holder[at] == ids[k]))
+            if gone.any():
+                yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(line[gone])], names=["row", "line"])
+        release()
 
-    return docs.mapInArrow(probe, schema)
+    tasks = index["built"].select("shard", F.ceil(F.col("lines") / PROBES).alias("tasks"))  # shards without keys are not probed
+    many = max(shards, tasks.agg(F.coalesce(F.sum("tasks"), F.lit(1))).first()[0])
+    routed = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(tasks), "shard").withColumn("task", F.pmod(F.xxhash64("row"), F.col("tasks")))
+    routed = routed.repartition(many, "shard", "task").sortWithinPartitions("shard")
+    return routed.select("shard", "h1", "h2", "row", "line", "id").mapInArrow(probe, "row long, line int")
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
-    """Drops lines found in ``min_docs`` or more documents except where the largest doc_id holds them."""
-    return drop_lines(docs, line_index(spark, docs, min_chars=min_chars), min_docs, min_chars)
+def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the lines found in ``min_docs`` or more documents, except where the largest id holds
+    them, and with ``n_lines`` (before) and ``n_dropped``."""
+    docs = without(docs, "n_lines", "n_dropped")
+    row_col = new_name(docs, "row_of_docs")
+    rows = save(spark, docs.withColumn(row_col, F.monotonically_increasing_id()), "documents")
+    lines = save(spark, line_hashes(rows, id_col, text_col, row_col, min_chars), "lines")
+    folder = shared_folder(spark, "dropped")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def close() -> pa.RecordBatch:
+            row, line = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            order = np.lexsort((line, row))
+            write_file(f"{folder}/{part}", np.array([len(row)], "<i8").tobytes() + row[order].astype("<i8").tobytes() + line[order].astype("<i4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["part"])
+
+        for b in batches:
+            parts, row, line = (b.column(k).to_numpy() for k in range(3))
+            for p in np.unique(parts):
+                if p != part and held:
+                    yield close()
+                    held = []
+                part, k = int(p), parts == p
+                held.append((row[k], line[k]))
+        if held:
+            yield close()
+
+    # rows of one partition of the documents have equal upper bits, so a group is as bounded as a partition
+    gone = dropped(spark, lines, line_index(spark, lines), min_docs).withColumn("part", F.shiftright("row", 33))
+    gone.select("part", "row", "line").repartition("part").sortWithinPartitions("part").mapInArrow(collect, "part long").write.format("noop").mode("overwrite").save()
+
+    t, at = rows.columns.index(text_col), rows.columns.index(row_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def load(uri: str):
+        fs, path = open_fs(uri)
+        if not fs.get_file_info(path).is_file:
+            return np.empty(0, "<i8"), np.empty(0, "<i4")
+        data = read_file(uri)
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i4", n, 8 + 8 * n)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = FileCache(load, 4)
+        for whole in batches:
+            for z in range(0, whole.num_rows, 1000):
+                b = whole.slice(z, 1000)
+                texts, row = b.column(t).cast(pa.string()).to_pylist(), b.column(at).to_numpy()
+                n_dropped = np.zeros(len(row), np.int64)
+                n_lines = [x.count("\n") + 1 if x else 1 for x in texts]
+                for p in np.unique(row >> 33):
+                    rows_gone, lines_gone = cache.get(f"{folder}/{p}")
+                    k = np.flatnonzero(row >> 33 == p)
+                    lo, hi = np.searchsorted(rows_gone, row[k]), np.searchsorted(rows_gone, row[k], "right")
+                    for j, a, e in zip(k[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                        off = set(lines_gone[a:e].tolist())
+                        n_dropped[j] = len(off)
+                        texts[j] = "\n".join(x for n, x in enumerate(texts[j].split("\n")) if n not in off)
+                cols = [pa.array(texts, b.column(t).type) if k == t else b.column(k) for k in range(b.num_columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped)], names=schema.names)
+                del b, texts, cols
+            release()
+
+    return rows.mapInArrow(cut, schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,15 +292,16 @@ def brute_force(rows: list[tuple[int, str | None]], min_docs: int = 5, min_chars
 
 
 ORACLE_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+lines AS (
+  SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM d),
 keyed AS (
-  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  SELECT row, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
 counts AS (
-  SELECT k, count(DISTINCT doc_id) AS n, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE holder IS NOT NULL AND holder <> doc_id))::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE holder IS NULL OR holder = doc_id), '')) AS kept_sha256
-FROM keyed LEFT JOIN counts USING (k) GROUP BY doc_id
+  SELECT k, count(DISTINCT row) AS n, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT row) >= 5)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE n IS NOT NULL AND holder IS DISTINCT FROM doc_id))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE n IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN counts USING (k) GROUP BY row, doc_id
 """

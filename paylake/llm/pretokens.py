@@ -26,8 +26,9 @@ ODD = b"odd"  # stands for pieces that may match differently beside their neighb
 class PieceEncoder:
     """``encode(text) -> ids`` is asked once for many distinct pieces; ``lengths`` has the bytes of each id."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = MOST_PIECES, at_once: int = AT_ONCE, most_new: int = MOST_NEW):
+    def __init__(self, encode: Callable[[str], np.ndarray], lengths: np.ndarray, most: int = MOST_PIECES, at_once: int = AT_ONCE, most_new: int = MOST_NEW, whole: tuple[str, ...] = ()):
         self.encode, self.lengths, self.most, self.at_once, self.most_new = encode, lengths, most, at_once, most_new
+        self.whole = whole  # texts that hold one of these are encoded whole
         self.marks = {c: encode(c).tobytes() for c in ",."}
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -56,7 +57,7 @@ class PieceEncoder:
     def _sort(self, p: str, new: list[str]) -> None:
         self.now[p] = ODD  # for the time being, if it is new
         body = p[1:] if p[:1] in ("\n", FIRST) else p
-        if not (body[:1].isspace() or body[-1:].isspace()) if body else p == "\n":
+        if (not (body[:1].isspace() or body[-1:].isspace()) if body else p == "\n") and not any(w in p for w in self.whole):
             new.append(p)
 
     def _encode_all(self, new: list[str]) -> None:
@@ -89,7 +90,7 @@ class PieceEncoder:
         if bad := [k for k, x in enumerate(known) if x is ODD]:
             where = np.flatnonzero(np.isin(found.indices.to_numpy(), bad))
             odd[np.searchsorted(at, where, "right") - 1] = True
-        for p in ("\n\n\n", "\n\n ", FIRST):
+        for p in ("\n\n\n", "\n\n ", FIRST, *self.whole):
             odd |= pc.match_substring(texts, p).to_numpy(zero_copy_only=False)
         odd |= pc.ends_with(texts, "\n\n").to_numpy(zero_copy_only=False)
         out = []

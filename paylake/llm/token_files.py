@@ -7,7 +7,8 @@ ascending doc_id order: file k holds smaller ids than file k + 1, and rows are s
 Spark's committed writer makes the files, so a lost executor leaves no partial ones.
 
 Defined results: null doc_ids come first; rows of equal doc_id follow each other, ordered by hash
-of the text. A null text counts as empty and holds the end id alone. An empty table gives an empty
+of the text; ``ndx`` numbers the rows of a file, and starts follow it. Strings of the vocabulary's added
+tokens are those tokens, as in the library. A text of any length is taken whole. A null text counts as empty and holds the end id alone. An empty table gives an empty
 file set and an empty result. Input columns besides doc_id and text are not written.
 """
 
@@ -29,6 +30,7 @@ from .shared import release, shared_root
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+FILE_BYTES = 24 << 20  # of text in one file
 MOST_PIECES, AT_ONCE, MOST_NEW = 500_000, 2000, 30_000  # see PieceEncoder
 
 
@@ -39,33 +41,38 @@ def _encoder(path: str) -> PieceEncoder:
     from tokenizers.pre_tokenizers import ByteLevel
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     lengths = np.zeros(t.get_vocab_size(), np.int64)
     letters = set(ByteLevel.alphabet())  # a byte each
     for token, i in t.get_vocab().items():
         lengths[i] = len(token) if letters.issuperset(token) else len(token.encode())
-    return PieceEncoder(lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4"), lengths, MOST_PIECES, AT_ONCE, MOST_NEW)
+    added = {i: str(a.content) for i, a in t.get_added_tokens_decoder().items()}
+    for i, content in added.items():  # their strings in a text stand for themselves, whatever is beside them
+        lengths[i] = len(content.encode())
+    return PieceEncoder(lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4"), lengths, MOST_PIECES, AT_ONCE, MOST_NEW, tuple(added.values()))
 
 
-def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids in ascending doc_id order over the partitions; ``part`` numbers them."""
+def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids in ascending doc_id order over the partitions; ``part`` numbers them, and ``ndx`` the rows in each."""
     path = path or public_tokenizers.path(VOCABULARY)
     tail = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc, done = _encoder(path), 0
         for whole in batches:
             for k in range(0, whole.num_rows, AT_ONCE):
                 b = whole.slice(k, AT_ONCE)
                 ids = [x + tail for x in enc.texts(b.column(1))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(done, done + len(n))), b.column(0), pa.array(n), lists], names=["ndx", "doc_id", "n_tokens", "ids"])
+                done += len(n)
             del whole, b, ids, lists
             release()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return ordered.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    files = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
+    ordered = texts.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return ordered.mapInArrow(run, "ndx long, doc_id long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "ndx", "doc_id", "n_tokens", "ids")
 
 
 def write_tokens(rows: DataFrame, path: str, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
@@ -90,29 +97,28 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     within each file.
     """
     t = spark.read.parquet(path)
-    return with_start(t.select("part", "doc_id", "n_tokens"), t)
+    return with_start(t.select("part", "ndx", "doc_id", "n_tokens"), t)
 
 
 def with_start(t: DataFrame, stored: DataFrame) -> DataFrame:
     """``t`` with start; ``stored``: the files, of which part and n_tokens are read."""
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    order = [F.col("doc_id").asc_nulls_first(), *[c for c in t.columns if c not in ("part", "doc_id")]]
-    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.withColumn("upto", F.sum("n_tokens").over(within)).join(sums, "part").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("before", "upto", "part")
+    within = Window.partitionBy("part").orderBy("ndx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.withColumn("upto", F.sum("n_tokens").over(within)).join(sums, "part").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("before", "upto", "part", "ndx")
 
 
 def checksums(t: DataFrame) -> DataFrame:
-    """part, doc_id, n_tokens and ids_crc32 of what the files hold."""
+    """part, ndx, doc_id, n_tokens and ids_crc32 of what the files hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            lists = b.column(4)
             data = memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
             at = lists.offsets.to_numpy().astype(np.int64) * 4
             crc = [zlib.crc32(data[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=["part", "ndx", "doc_id", "n_tokens", "ids_crc32"])
 
-    return t.select("part", "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    return t.select("part", "ndx", "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").mapInArrow(run, "part int, ndx long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

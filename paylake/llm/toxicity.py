@@ -1,19 +1,22 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another (here: low quality, then toxic). Each link is a sparse
-logistic regression on hashed words of the whole text, and sees, besides the words, the
+logistic regression on hashed words of the whole text and on their beginnings (``STEM`` letters; languages with many
+endings have few words that come twice), and sees, besides these, the
 probabilities of the links before it. Those are out-of-fold: training documents are dealt to
-``FOLDS`` by hash, and the probability a document passes on comes from a model that has not seen
+``FOLDS`` by family, and the probability a document passes on comes from a model that has not seen
 its fold; so a later link trains on what it will meet. The decision threshold of the last category
-is chosen on its out-of-fold predictions, and is at least a half. Weights are learned by FTRL-proximal with an elastic net.
+is chosen on its out-of-fold predictions, and is at least a half. Weights are learned by FTRL-proximal with an
+elastic net. The folds of a link are fitted as tasks of one job.
 
 Fitted on at most ``MOST_ROWS`` labelled documents (by hash of doc_id, about evenly by label), one
-of each family of near copies; predictions cover every document.
+of each family of near copies (Jaccard similarity of their buckets of ``ALIKE`` or more); predictions cover every
+document.
 
-Defined results: null or wordless texts are not toxic and have score 0. With no labels, or only one
-value of a label, that category's probability is its constant share. Repeated rows are predicted
-alike; a doc_id with several labels counts as positive if any is. Null labels are not learned from.
-An empty table gives an empty table.
+Defined results: null or wordless texts are not toxic and have score 0. Texts of any length are taken whole. With no
+labels, or only one value of a label, that category's probability is its constant share. Repeated rows are predicted
+alike; a doc_id with several labels counts as positive if any is. Null labels are not learned from. Equal scores are decided alike.
+An empty table gives an empty table. Input columns named toxic, score or p_<category> are replaced; others are kept.
 """
 
 from __future__ import annotations
@@ -36,15 +39,19 @@ MOST_ROWS = 12_000
 FOLDS, EPOCHS = 4, 3
 L1, L2, ALPHA = 2.0, 0.002, 0.3
 WORD = re.compile(rb"[a-z\x80-\xff]+")
+STEM = 4
+ALIKE = 0.7
 LEAST_FAMILIES = 4  # families a bucket must be found in to be learned from
 LEAST_THRESHOLD = 0.5  # labels have errors; a document that is more likely clean stays clean
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """Distinct word buckets of a whole text."""
+    """Distinct buckets of a whole text: of its words, and of the beginnings of longer ones."""
     found = set(WORD.findall((text or "").lower().encode("utf-8", "surrogatepass")))
     h = xxhash.xxh32_intdigest
-    return np.unique(np.array([h(w) for w in found], np.int64) & (BUCKETS - 1))
+    out = [h(w) for w in found]
+    out += [h(w, 1) for w in {w.decode("utf-8", "replace")[:STEM] for w in found if len(w) > STEM}]
+    return np.unique(np.array(out, np.int64) & (BUCKETS - 1))
 
 
 class Link:
@@ -70,21 +77,42 @@ def fit_link(x: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Link:
     return Link(w[:, 1] - w[:, 0], float(bias[1] - bias[0]))
 
 
+def link_jobs(spark: SparkSession, x: list[np.ndarray], before: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Link, np.ndarray]:
+    """The link fitted on all rows, and the out-of-fold probabilities: ``FOLDS`` + 1 fits, a task each."""
+    data = spark.sparkContext.broadcast((x, before, y, fold))  # MOST_ROWS documents at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, before, y, fold = data.value
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                own = fold == f
+                link = fit_link([a for a, o in zip(x, own) if not o], before[~own], y[~own])
+                p = np.array([link.prob(x[j], before[j].tolist()) for j in np.flatnonzero(own)])
+                k = np.flatnonzero(link.w) if f == FOLDS else np.empty(0, np.int64)
+                cols = [pa.array([f], pa.int64()), *[pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in ((p, "<f8"), (k, "<i8"), (link.w[k], "<f8"))], pa.array([link.bias])]
+                yield pa.RecordBatch.from_arrays(cols, names=["fold", "probs", "at", "w", "bias"])
+
+    oof, whole = np.zeros(len(x)), None
+    for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, probs binary, at binary, w binary, bias double").collect():
+        if r.fold == FOLDS:
+            w = np.zeros(BUCKETS + before.shape[1])
+            w[np.frombuffer(r["at"], "<i8")] = np.frombuffer(r.w, "<f8")
+            whole = Link(w, r.bias)
+        else:
+            oof[fold == r.fold] = np.frombuffer(r.probs, "<f8")
+    return whole, oof
+
+
 class Chain:
     def __init__(self, names: list[str], links: list[Link], threshold: float):
         self.names, self.links, self.threshold = names, links, threshold
 
     @classmethod
-    def fit(cls, names: list[str], x: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
+    def fit(cls, spark: SparkSession, names: list[str], x: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
         links, before = [], np.zeros((len(x), 0))
         for k in range(len(names)):
-            oof = np.zeros(len(x))
-            for f in range(FOLDS):
-                own = fold == f
-                part = fit_link([a for a, o in zip(x, own) if not o], before[~own], y[~own, k])
-                for j in np.flatnonzero(own):
-                    oof[j] = part.prob(x[j], before[j].tolist())
-            links.append(fit_link(x, before, y[:, k]))
+            link, oof = link_jobs(spark, x, before, y[:, k], fold)
+            links.append(link)
             before = np.c_[before, oof]
         return cls(names, links, max(LEAST_THRESHOLD, best_threshold(before[:, -1], y[:, -1])))
 
@@ -133,27 +161,37 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, names: list[s
     both = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "h", *names)
     rows = both.mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{n} int" for n in names) + ", at binary")
     got = rows.orderBy("h", "doc_id", "at").limit(most_rows).collect()  # a doc_id may have several rows
-    return fit(names, [np.frombuffer(r["at"], "<i4") for r in got], np.array([[r[n] for n in names] for r in got]).reshape(-1, len(names)))
-
-
-def family(at: np.ndarray) -> int:
-    """Two min-hashes of the buckets as one number: copies and near copies mostly share it."""
-    low = [int((at.astype(np.uint64) * np.uint64(p) & np.uint64(0xFFFFFFFF)).min()) if len(at) else 0 for p in (2654435761, 2246822519)]
-    return low[0] << 32 | low[1]
+    return fit(spark, names, [np.frombuffer(r["at"], "<i4") for r in got], np.array([[r[n] for n in names] for r in got]).reshape(-1, len(names)))
 
 
-def fit(names: list[str], x: list[np.ndarray], y: np.ndarray) -> Chain:
+def families(x: list[np.ndarray]) -> np.ndarray:
+    """The number of the first member of each document's family. Near copies share one of eight bands of two
+    min-hashes; a document joins the first one of a band that it is ``ALIKE``."""
+    odd = np.random.default_rng(3).integers(0, 2**31, 16, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    first, met = np.arange(len(x)), {}
+    for j, at in enumerate(x):
+        low = (((at.astype(np.uint64) + np.uint64(1))[:, None] * odd) & np.uint64(0xFFFFFFFF)).min(0) if len(at) else np.zeros(16, np.uint64)
+        keys = [(k, int(low[2 * k]), int(low[2 * k + 1])) for k in range(8)]
+        for i in dict.fromkeys(i for k in keys for i in met.get(k, ())):
+            both = len(np.intersect1d(at, x[i], assume_unique=True))
+            if both >= ALIKE * (len(at) + len(x[i]) - both):
+                first[j] = first[i]
+                break
+        else:
+            for k in keys:
+                met.setdefault(k, []).append(j)
+    return first
+
+
+def fit(spark: SparkSession, names: list[str], x: list[np.ndarray], y: np.ndarray) -> Chain:
     """A chain over one document of each family, so that a text with many copies counts once and its
     copies do not meet in different folds; buckets of fewer than ``LEAST_FAMILIES`` are left out."""
-    own: dict[int, int] = {}
-    for j, at in enumerate(x):
-        own.setdefault(family(at), j)
+    rows = np.unique(families(x))
     count = np.zeros(BUCKETS, np.int64)
-    for j in own.values():
+    for j in rows:
         count[x[j]] += 1
     use = count >= LEAST_FAMILIES
-    rows = list(own.values())
-    return Chain.fit(names, [x[j][use[x[j]]] for j in rows], y[rows], np.array([k % 65521 % FOLDS for k in own], np.int64))
+    return Chain.fit(spark, names, [x[j][use[x[j]]] for j in rows], y[rows], np.arange(len(rows)) % FOLDS)
 
 
 def predict(docs: DataFrame, chain: Chain | None) -> DataFrame:

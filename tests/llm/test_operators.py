@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import numpy as np
@@ -20,10 +21,12 @@ def docs_of(spark, rows, more=""):
 def test_line_dedup(spark):
     rows = [(k, f"own {k}\n {L}\t\n\n{L.lower()}x") for k in range(6)] + [(9, None), (10, ""), (11, L), (12, L + "\r\n" + "y" * 50_000)]
     rows += [(k, "four have this line, which is also long enough to be seen") for k in range(20, 24)]
+    rows += [(30, "one doc_id in five rows has this line twice and no other has it\n" * 2)] * 5 + [(None, L), (None, None)]
     docs = docs_of(spark, [(*r, 1) for r in rows], ", n_dropped int")
     got = line_dedup.line_dedup(spark, docs).collect()
-    have = sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got)
-    assert have == sorted(line_dedup.brute_force(rows))
+    have = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got]
+    order = lambda r: (r[0] is None, r)
+    assert sorted(have, key=order) == sorted(line_dedup.brute_force(rows), key=order)
     assert line_dedup.line_dedup(spark, docs.limit(0)).collect() == []
 
 
@@ -143,6 +146,30 @@ def test_language_id_on_held_out_documents(spark):
     assert language_id.language_id(one.limit(0)).collect() == []
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    """More languages than the bound on rows would leave one row each; the rare ones are learned too."""
+    monkeypatch.setattr(language_id, "MOST_ROWS", 40)
+    words = lambda k, j: " ".join(chr(97 + k) * 2 + chr(97 + (k * 7 + i * (j + 2)) % 26) for i in range(30))
+    rows = [(k * 100 + j, words(k, j), f"l{k:02}") for k in range(20) for j in range(40 if k == 0 else 6)] + [(9000, words(3, 1), None), (None, words(4, 1), "l04"), (9001, "", "l05"), (9002, "x " * 60_000, None)]
+    docs = docs_of(spark, rows, ", lang string").withColumn("SCORE", F.lit("x"))
+    got = language_id.language_id(docs, 40).collect()
+    assert len(got) == len(rows) and np.mean([r.lang == r.lang_pred for r in got if r.lang and r.text]) >= 0.95
+    assert {r.lang_pred for r in got if r.doc_id == 9001} == {"und"}
+    assert got[0].asDict().keys() == {"doc_id", "text", "lang", "lang_pred", "score"}
+
+
+def test_language_id_is_calibrated(spark):
+    """Scores of held-out documents are about as high as they are often right."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rows = language_id.op3_language_id(spark, "/root/testdata/sf0.1").where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    right = np.array([r.lang == r.lang_pred for r in rows])
+    score = np.array([r.score for r in rows])
+    assert abs(score.mean() - right.mean()) <= 0.02
+    edges = np.quantile(score, [0, 0.1, 0.5, 1])
+    gap = [abs(score[k].mean() - right[k].mean()) for a, z in zip(edges, edges[1:]) if (k := (score >= a) & (score <= z)).any()]
+    assert max(gap) <= 0.1, gap
+
+
 def test_temperature_and_blocks_of_ngrams():
     z = np.random.default_rng(1).normal(size=(400, 3)) * 5
     y = np.array([np.random.default_rng(k).choice(3, p=language_id._softmax(z[k] / 4)) for k in range(400)])
@@ -159,6 +186,9 @@ def test_toxicity_on_held_out_labels(spark):
     n = {(r.pred, r.toxic): r["count"] for r in out.join(labels.where("doc_id % 5 = 0"), "doc_id").groupBy("pred", "toxic").count().collect()}
     assert n.get((True, 0), 0) <= 0.01 * n[(False, 0)]
     assert n[(True, 1)] >= 0.6 * (n[(True, 1)] + n[(False, 1)])  # some labels are wrong
+    lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    by = {r.lang: r for r in out.join(labels.where("doc_id % 5 = 0 and toxic = 1"), "doc_id").join(lang, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if("pred").alias("hit")).collect()}
+    assert all(r.hit >= 0.4 * r.n for r in by.values() if r.n >= 8), by
     none = toxicity.toxicity(spark, docs.limit(3), labels.limit(0)).collect()
     assert [(r.toxic, r.score) for r in none] == [(False, 0.0)] * 3
 
@@ -279,12 +309,35 @@ def test_warc_round_trip(spark, tmp_path):
     m = warc.write_archives(spark, pages, f"file://{tmp_path}", file_bytes=1 << 10)
     got = warc.read_archives(m, payloads=True).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=lambda r: r[0]) == warc.brute_force([(k, h) for k, _, h in rows])
-    assert {bytes(r.payload) for r in got if r.payload is not None} == {("é" * 70_000).encode(), b"x" * 32_768}
+    assert {bytes(r.payload) for r in got if r.payload is not None} == {(h or "").encode() for _, _, h in rows}
+    some = next(f for f in tmp_path.iterdir() if f.name.endswith(".warc.gz"))
+    assert gzip.decompress(some.read_bytes()).startswith(b"WARC/1.1\r\n")  # a member for each record, not packed twice
     (tmp_path / "e").mkdir()
     assert warc.read_archives(warc.write_archives(spark, pages.limit(0), f"file://{tmp_path}/e")).collect() == []
+    # of segments that are records written twice, two rows
+    twice = pages.where("page_id = 4").unionAll(pages.where("page_id = 4")).unionAll(pages.where("page_id = 8"))
+    (tmp_path / "t").mkdir()
+    got = warc.read_archives(warc.write_archives(spark, twice, f"file://{tmp_path}/t")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(4, "response", None), (4, "response", None), (8, "revisit", 4)]
     assert warc.digest(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 
+def test_warc_of_others(spark, tmp_path):
+    """An archive with other kinds of records, no private headers, plain and chunked bodies, and revisits."""
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    first = warc.record("response", "urn:uuid:a", http + b"hello", Payload_Digest="sha1:" + warc.digest(b"hello"))
+    bare = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:r>\r\nContent-Type: text/plain\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    data = [warc.record("warcinfo", "urn:uuid:w", b"software: x\r\n"), first, warc.record("request", "urn:uuid:q", b"GET / HTTP/1.1\r\n\r\n"), warc.record("revisit", "urn:uuid:v", http, Refers_To="<urn:uuid:a>", Payload_Digest="sha1:" + warc.digest(b"hello"))]
+    data += [warc.record("revisit", "urn:uuid:u", http, Refers_To="<urn:uuid:gone>"), warc.record("metadata", "urn:uuid:m", b"x: y"), gzip.compress(bare), warc.record("response", "urn:uuid:b", http + b"bye", Payload_Digest="sha256:xyz")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(data))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    got = {r.id.strip("<>")[9:]: (r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to_id) for r in warc.read_archives(manifest).collect()}
+    hello, bye = warc.digest(b"hello"), warc.digest(b"bye")
+    assert got == {"a": (None, "response", 5, hello, None), "v": (None, "revisit", 5, hello, "<urn:uuid:a>"), "u": (None, "revisit", None, None, "<urn:uuid:gone>"), "b": (None, "response", 3, bye, None)}
+    more = {r.record_type: bytes(r.payload) for r in warc.read_archives(manifest, payloads=True, other_kinds=True).collect() if r.payload is not None and r.record_type not in ("response", "request")}
+    assert more == {"warcinfo": b"software: x\r\n", "metadata": b"x: y", "resource": b"abc"}
+
+
 def test_warc_faults():
     parts = [(2, 4, b"cd"), (1, None, b"ab")]
     assert warc.reassemble(parts) == b"abcd"
