@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import PieceEncoder
-from .shared import release, without
+from .shared import bounded, release, without
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
     """Adds the token ids of ``text_col`` (array of int), and what they decode to as column
     ``decoded`` if that is named. Runs where the rows are; no shuffle."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    bounded(docs.sparkSession)
     docs = without(docs, out, *[decoded] * bool(decoded))
     t = docs.columns.index(text_col)
     keep = [k for k in range(len(docs.columns)) if not (drop_text and k == t)]
@@ -223,6 +224,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
 def decode(tokens: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Adds the bytes that the ids of ``ids_col`` stand for; null ids count as none."""
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    bounded(tokens.sparkSession)
     tokens = without(tokens, out)
     c = tokens.columns.index(ids_col)
     schema = T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import release, without
+from .shared import bounded, release, without
 
 BUCKETS = 1 << 15
 MOST_ROWS = 3000  # labelled rows that the weights and the temperature are fitted on
@@ -182,6 +182,7 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
     """``docs``: doc_id, text, lang. None if nothing is labelled."""
+    bounded(docs.sparkSession)
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     sizes = labelled.groupBy("lang").count()
     langs = sorted(r.lang for r in sizes.collect())  # one row a language, as in the model

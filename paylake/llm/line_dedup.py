@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import FileCache, new_name, open_fs, read_file, release, save, shared_folder, without, write_file
+from .shared import FileCache, new_name, open_fs, read_file, release, save, scratch, shared_folder, without, write_file
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -206,7 +206,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 5, min_char
     docs = without(docs, "n_lines", "n_dropped")
     row_col = new_name(docs, "row_of_docs")
     rows = save(spark, docs.withColumn(row_col, F.monotonically_increasing_id()), "documents")
-    lines = save(spark, line_hashes(rows, id_col, text_col, row_col, min_chars), "lines")
     folder = shared_folder(spark, "dropped")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +229,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 5, min_char
             yield close()
 
     # rows of one partition of the documents have equal upper bits, so a group is as bounded as a partition
-    gone = dropped(spark, lines, line_index(spark, lines), min_docs).withColumn("part", F.shiftright("row", 33))
-    gone.select("part", "row", "line").repartition("part").sortWithinPartitions("part").mapInArrow(collect, "part long").write.format("noop").mode("overwrite").save()
+    with scratch(spark):
+        lines = save(spark, line_hashes(rows, id_col, text_col, row_col, min_chars), "lines")
+        gone = dropped(spark, lines, line_index(spark, lines), min_docs).withColumn("part", F.shiftright("row", 33))
+        gone.select("part", "row", "line").repartition("part").sortWithinPartitions("part").mapInArrow(collect, "part long").write.format("noop").mode("overwrite").save()
 
     t, at = rows.columns.index(text_col), rows.columns.index(row_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

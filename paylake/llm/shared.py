@@ -1,7 +1,9 @@
 """The folder that the driver and all executors share, and tables and files in it.
 
 The folder is the one named by ``spark.checkpoint.dir``; where that is unset (tests), a local
-one is set. Work is written below one subfolder per session, removed when the JVM ends.
+one is set. Work is written below one subfolder per session, removed when the JVM ends. What an operator
+needs for itself alone is written within ``scratch`` and removed when it returns; what its result is
+read from stays (``keep``), in a ``stage`` until a later stage that does not read it begins.
 """
 
 from __future__ import annotations
@@ -11,16 +13,23 @@ import os
 import tempfile
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that is handed to Python: rows may hold very long texts.
+BATCH_BYTES = 8 << 20
 _ROOTS: dict[str, str] = {}
+_OPEN: list[list[str]] = []  # what the open scopes have written, outermost first
+_LEFT: dict[str, list[list[str]]] = {}  # what each stage has left, by application
 
 
 def shared_root(spark: SparkSession) -> str:
     """This session's work folder in the shared folder, as a URI."""
     sc = spark.sparkContext
+    bounded(spark)
     if sc.applicationId not in _ROOTS:
         base = sc.getConf().get("spark.checkpoint.dir", "")
         if not base:
@@ -36,18 +45,76 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[sc.applicationId]
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
+def bounded(spark: SparkSession) -> None:
+    """From now on batches handed to Python have ``BATCH_BYTES`` at most, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def _new_path(spark: SparkSession, name: str, keep: bool) -> str:
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
+    return path
+
+
+def _remove(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes at the end, but for what is kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for uri in _OPEN.pop():
+            _remove(spark, uri)
+
+
+@contextmanager
+def stage(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """A stage over ``docs``. What each earlier stage has left goes now, unless ``docs`` is read from some of it; so
+    the result of a stage before the last one has to be written by now."""
+    left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+    if left:
+        files = docs.inputFiles()
+        for group in [g for g in left if not any(u.rpartition("/")[2] in f for u in g for f in files)]:
+            for uri in group:
+                _remove(spark, uri)
+            left.remove(group)
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        if own := _OPEN.pop():
+            left.append(own)
+
+
+def hand_over(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A stage's result, written and read again; it goes when a stage begins that does not read it."""
+    _OPEN.append([])
+    try:
+        return save(spark, df, name)
+    finally:
+        _LEFT.setdefault(spark.sparkContext.applicationId, []).append(_OPEN.pop())
+
+
+def shared_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new empty folder in the shared folder, as a URI."""
-    out = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    out = _new_path(spark, name, keep)
     fs, path = open_fs(out)
     fs.create_dir(path, recursive=True)
     return out
 
 
-def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def save(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage ends here,
     and a lost executor costs a re-read, not a recomputation."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = _new_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

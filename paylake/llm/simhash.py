@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_hot, release, save
+from .shared import join_hot, release, save, scratch
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORDS, SEED, BITS = 3, 42, 2
@@ -130,11 +130,12 @@ def links(spark: SparkSession, distinct: DataFrame, crowd: int = CROWD) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     fps = save(spark, fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = save(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
-    comp = connected_components(spark, links(spark, distinct, crowd))
-    labelled = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_fp = save(spark, labelled.join(least, "component").select("fp", "n", "component_id"), "labels")
+    with scratch(spark):
+        distinct = save(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+        comp = connected_components(spark, links(spark, distinct, crowd))
+        labelled = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
+        least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_fp = save(spark, labelled.join(least, "component").select("fp", "n", "component_id"), "labels", keep=True)
     return join_hot(fps, of_fp, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

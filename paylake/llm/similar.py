@@ -210,7 +210,7 @@ def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         last = turn == ROUNDS or (turn > 0 and _open_pairs(shared) <= few)
         new = check(_all_pairs(shared, bits, similarity) if last else _pivot_pairs(shared, turn, bits, similarity))
         edges = new if edges is None else edges.unionAll(new)
-        comp = save(spark, connected_components(spark, edges), "components")
+        comp = connected_components(spark, edges)
         if last:
             break
         shared = save(spark, shared.drop("comp").join(comp.select(F.col("node").alias("_n"), "component"), F.col("x.node") == F.col("_n"), "left").select("band", "x", F.coalesce("component", "x.node").alias("comp")), "bands")

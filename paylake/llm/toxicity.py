@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .language_id import ftrl
-from .shared import save, without
+from .shared import bounded, save, without
 
 BUCKETS = 1 << 17
 MOST_ROWS = 12_000
@@ -141,6 +141,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, names: list[s
     The labelled rows to fit on are picked from the labels alone, so only their ids (``most_rows`` at
     most) are sent to the documents; texts are not shuffled.
     """
+    bounded(spark)
     clean = labels.where(F.col("doc_id").isNotNull()).dropna(subset=names).groupBy("doc_id").agg(*[F.max(F.col(n).cast("int")).alias(n) for n in names])
     clean = save(spark, clean, "labels")
     last = names[-1]

@@ -429,3 +429,25 @@ def test_pipeline_mixes_null_and_repeated_ids(spark):
     for s in "ab":
         want = target[sum(len(t.split()) for _, t, x in rows if x == s)]
         assert abs(taken[s] - want) <= 0.02 * want
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, an empty table, and columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, "en", None, 0), (None, "", "en", "a", 0), (7, " \n\t", "de", None, 3), (8, "12 34", None, "b", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionAll(odd).unionAll(docs.where("doc_id in (3, 4)")).unionAll(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.select(*docs.columns, *[F.lit(1).alias(n) for n in ("row", "node", "size", "TAKEN", "cuts_of_docs", "row_of_docs", "score", "n_lines")])
+    n = docs.count()
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count() <= n
+        assert function(spark, docs.limit(0), SF).collect() == []
+        out = function(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    ids = [r.doc_id for r in docs.collect()]
+    assert len({i for i in ids if i is not None}) >= 0.5 * len(ids) and ids.count(3) <= 1
+    assert corpus_pipeline.tokenize(spark, docs, SF).count() == len(ids)
