@@ -215,6 +215,8 @@ def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
         rest[:] = False
     w, bias = ftrl([v for v, r in zip(x, rest) if not r], y[~rest], len(langs), BUCKETS)
     z = np.array([v @ w[at] + bias for (at, v), r in zip(x, rest) if r]).reshape(-1, len(langs))
+    del rows, x
+    release()  # of the driver
     return Model(langs, w * idf[:, None] * SCALE, bias, fit_temperature(z, y[rest]))
 
 

@@ -7,15 +7,16 @@ sets is ``similarity`` at least.
 At a similarity of 0.8 about 19 of 128 bits differ (standard deviation 4), so the Hamming budget is
 ``BITS`` = 32. So wide a budget leaves pigeonring without a key to join on: no chain has an equal
 segment of more than a few bits. Candidates are therefore the documents that share a band of min-hashes
-(``BANDS`` bands of ``ROWS``: a pair at exactly 0.8 shares none with a chance of 2 in 10,000), and the
+(``BANDS`` bands of ``ROWS``: a pair at exactly 0.8 shares none with a chance of 1.6 in 1,000, one at 0.9 of 8 in a million), and the
 ring prunes them: some segment must start a chain whose first l segments differ in at most
 l * bits / segments bits for every l; then come the full Hamming check and the exact check.
 
 Equal sets are one node. First each node of a band meets one pivot of it, which links most of a large
-group of near copies; more rounds with other pivots follow while bands hold many pairs of different
-components. At last all pairs of a band that still lie in different components are compared, in
-groups of ``GROUP`` nodes, so no candidate is lost and a large group of copies is not expanded into
-its pairs.
+group of near copies. Then all pairs of a band that still lie in different components are compared in tasks that
+hold ``GROUP`` nodes, or two times as many, and send back a forest of links and no candidates: a band of up to
+``GROUP`` nodes is one task, a larger one is dealt to blocks (files in the shared folder) whose pairs are tasks. So
+no candidate is lost, and neither a large group of copies nor one of documents just below the
+similarity is expanded into its pairs.
 
 Defined results: wordless texts are one node; a text with fewer words than a shingle is one shingle; texts
 of any length are taken whole; repeated rows are rows of their own, and one of them is kept. Null
@@ -25,6 +26,7 @@ it. An empty table gives an empty table. Other columns, whatever their names, pl
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_hot, release, save
+from .shared import FileCache, join_hot, read_file, release, save, shared_folder, write_file
 from .simhash import LOWER, SEED
 
 WORDS, SIMILARITY, BITS, SEGMENTS = 5, 0.8, 32, 8
-BANDS, ROWS = 16, 4
-ROUNDS, FEW = 6, 4  # pivot rounds end when bands hold at most FEW pairs of different components a node
-GROUP = 256
+BANDS, ROWS = 9, 3
+GROUP = 1024
+MOST_TASKS = 20_000
 SALTED = 4096  # pairs of a node that are checked in one task
 SMALL = 1_000_000  # so many keys of rows (8 bytes each) are broadcast; more are joined
 STEP = 1 << 14  # shingles min-hashed at a time
@@ -148,32 +150,110 @@ def may_be_similar(a: str, b: str, bits: int, similarity: float) -> Column:
     return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & chain & whole
 
 
-def _pivot_pairs(shared: DataFrame, turn: int, bits: int, similarity: float) -> DataFrame:
-    """Each node of a band with one pivot of it, of another component."""
-    turned = F.xxhash64("comp", F.lit(turn)) if turn else F.col("x.node")
-    pivots = shared.groupBy("band").agg(F.min(F.struct(turned.alias("turned"), "comp", "x")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    met = shared.join(pivots.select("band", F.col("p.comp").alias("pcomp"), F.col("p.x").alias("y")), "band")
-    return met.where((F.col("comp") != F.col("pcomp")) & may_be_similar("x", "y", bits, similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def _pivot_pairs(shared: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Each node of a band with its pivot, the least node."""
+    pivots = shared.groupBy("band").agg(F.min("x").alias("y"))
+    met = shared.join(pivots, "band").where((F.col("x.node") != F.col("y.node")) & may_be_similar("x", "y", bits, similarity))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _open_pairs(shared: DataFrame) -> int:
-    """Pairs of different components that bands hold."""
-    n = shared.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return n.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+class Block:
+    """Nodes with their sets."""
 
+    def __init__(self, t: pa.Table):
+        self.node, self.comp, self.size, f0, f1 = (t.column(c).to_numpy() for c in ("node", "comp", "size", "f0", "f1"))
+        self.f = np.stack([f0, f1], 1).view(np.uint64)
+        self.bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        lists = t.column("hashes").combine_chunks()
+        self.values, self.at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
 
-def _all_pairs(shared: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """All pairs of different components of each band. The nodes of a band are dealt to groups of ``GROUP``, and
-    each pair of groups is joined on a key of its own, so a band of any size is many small joins."""
-    sizes = shared.groupBy("band").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "groups")
-    dealt = shared.join(sizes, "band").withColumn("g", F.pmod(F.xxhash64("x.node"), F.col("groups")))
-    left = dealt.select("band", F.explode(F.expr("sequence(g, groups - 1)")).alias("j"), F.col("g").alias("i"), F.col("comp").alias("ca"), F.col("x"))
-    right = dealt.select("band", F.col("g").alias("j"), F.explode(F.expr("sequence(0L, g)")).alias("i"), F.col("comp").alias("cb"), F.col("x").alias("y"))
-    other = (F.col("ca") != F.col("cb")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node")))
-    return left.join(right, ["band", "i", "j"]).where(other & may_be_similar("x", "y", bits, similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    def set_of(self, k: int) -> np.ndarray:
+        return self.values[self.at[k] : self.at[k + 1]]
 
 
-def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, row_col: str | None = None) -> DataFrame:
+def _forest(a: Block, b: Block, band: int, bits: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of the links between nodes of different components in two blocks (or in one). Of the bands that
+    two nodes share only the first one compares them."""
+    root = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    part = np.dtype(f"<u{16 // SEGMENTS}")
+    ring_b = np.ascontiguousarray(b.f.view(part))
+    out = []
+    for k in range(0, len(a.node), 64):
+        z = min(len(a.node), k + 64)
+        fit = (a.comp[k:z, None] != b.comp) & (np.minimum(a.size[k:z, None], b.size) >= similarity * np.maximum(a.size[k:z, None], b.size) - 1e-6)
+        if a is b:
+            fit &= np.arange(k, z)[:, None] < np.arange(len(b.node))
+        x, y = np.nonzero(fit)
+        d = np.bitwise_count(np.ascontiguousarray(a.f[k:z].view(part))[x] ^ ring_b[y]).astype(np.int16)
+        twice = np.cumsum(np.c_[d, d[:, :-1]], axis=1)  # a chain from each segment, around the ring
+        before = np.c_[np.zeros(len(d), np.int16), twice]
+        budget = (np.arange(1, SEGMENTS + 1) * bits) // SEGMENTS
+        chain = np.zeros(len(d), bool)
+        for s in range(SEGMENTS):
+            chain |= (before[:, s + 1 : s + 1 + SEGMENTS] - before[:, s, None] <= budget).all(1)
+        x, y = x[chain] + k, y[chain]
+        near = np.bitwise_count(a.f[x] ^ b.f[y]).sum(1) <= bits
+        x, y = x[near], y[near]
+        same = a.bands[x] == b.bands[y]
+        first = a.bands[x, same.argmax(1)] == band
+        for i, j in zip(x[first].tolist(), y[first].tolist()):
+            p, q = find(int(a.comp[i])), find(int(b.comp[j]))
+            if p != q:
+                both = len(np.intersect1d(a.set_of(i), b.set_of(j), assume_unique=True))
+                if both >= similarity * (a.size[i] + b.size[j] - both) - 1e-6:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(a.node[i]), int(b.node[j])))
+    return out
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _all_links(spark: SparkSession, opened: DataFrame, bits: int, similarity: float, group: int) -> DataFrame:
+    """a, b: what links the components of each band. ``opened``: band, n (its nodes), node, comp, size, f0, f1, bands, hashes."""
+    few, many = opened.where(F.col("n") <= group), opened.where(F.col("n") > group)
+
+    def small(t: pa.Table) -> pa.Table:
+        block = Block(t)
+        return _links(_forest(block, block, t.column("band")[0].as_py(), bits, similarity))
+
+    found = save(spark, few.groupBy("band").applyInArrow(small, "a long, b long"), "links")
+    if many.isEmpty():
+        return found
+    folder = shared_folder(spark, "blocks")
+
+    def write(t: pa.Table) -> pa.Table:
+        band, block = t.column("band")[0].as_py(), t.column("block")[0].as_py()
+        sink = io.BytesIO()
+        with pa.ipc.new_file(sink, t.schema) as f:
+            f.write_table(t.combine_chunks())
+        write_file(f"{folder}/{band}_{block}", sink.getvalue())
+        return pa.table({"band": pa.array([band], pa.int64()), "block": pa.array([block], pa.int64())})
+
+    dealt = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group)))
+    made = save(spark, dealt.groupBy("band", "block").applyInArrow(write, "band long, block long"), "blocks")
+    pairs = save(spark, made.join(made.withColumnRenamed("block", "other"), "band").where("block <= other"), "pairs")
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = FileCache(lambda uri: Block(pa.ipc.open_file(pa.py_buffer(bytes(read_file(uri)))).read_all()), 2)
+        for b in batches:
+            for band, i, j in zip(*[c.to_pylist() for c in b.columns]):
+                yield from _links(_forest(cache.get(f"{folder}/{band}_{i}"), cache.get(f"{folder}/{band}_{j}"), band, bits, similarity)).to_batches()
+        release()
+
+    tasks = max(16, min(pairs.count(), MOST_TASKS))
+    return found.unionAll(save(spark, pairs.select("band", "block", "other").repartition(tasks, "band", "block", "other").mapInArrow(large, "a long, b long"), "links"))
+
+
+def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, row_col: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, row, fingerprint (32 hex digits), component_id and kept of every document. ``row_col``: a
     column that numbers the rows; without it they are numbered here. Kept is one row of each component,
     that of the smallest doc_id."""
@@ -181,39 +261,41 @@ def near_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     if not row_col:
         texts = save(spark, texts, "texts")
     rows = save(spark, _nodes(texts, words), "nodes")
-    x = F.struct("node", "size", "f0", "f1").alias("x")
-    nodes = save(spark, rows.groupBy("node").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct")
-    # nodes of several rows bring the same bands, so only those of their first row count
-    banded = rows.join(nodes.where("n > 1").select("node", F.col("row").alias("first")), "node", "left").where("first is null or row = first").select(x, F.explode("bands").alias("band"))
-    often = banded.groupBy("band").agg(F.count("*").alias("n")).where("n >= 2").select("band")
-    shared = save(spark, banded.join(often, "band").withColumn("comp", F.col("x.node")), "bands")
+    first = lambda *names: [F.first(n).alias(n) for n in names]
+    nodes = save(spark, rows.groupBy("node").agg(*first("size", "f0", "f1", "bands"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct")
+    banded = nodes.select(F.struct("node", "size", "f0", "f1").alias("x"), F.explode("bands").alias("band"))
+    often = banded.groupBy("band").agg(F.count("*").alias("n")).where("n >= 2")
+    shared = save(spark, banded.join(often, "band"), "bands")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """node, hashes of the nodes (column node), from the first row of each."""
+        wanted = save(spark, nodes.select("node", "row").join(some, "node", "left_semi"), "wanted")
+        only = wanted.select("row")
+        sets = _sets(texts.select("row", "text").join(F.broadcast(only) if only.count() <= SMALL else only, "row", "left_semi"), words)
+        return save(spark, wanted.join(sets, "row").select("node", "hashes"), "sets")
 
     def check(found: DataFrame) -> DataFrame:
         """The candidates that are similar."""
         found = save(spark, found, "candidates")
         ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).groupBy("node").agg(F.count("*").alias("n"))
-        ends = save(spark, nodes.select("node", "row").join(ends, "node").withColumn("salts", F.ceil(F.col("n") / SALTED)), "ends")
-        wanted = ends.select("row")
-        sets = _sets(texts.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "row", "left_semi"), words)
-        sets = save(spark, ends.join(sets, "row").select("node", "salts", "hashes"), "sets")
+        ends = save(spark, ends.select("node", F.ceil(F.col("n") / SALTED).alias("salts")), "ends")
+        sets = ends.join(sets_of(ends), "node")
         # a node of many pairs is sent to several tasks
-        turn = lambda own, salts: F.pmod(F.xxhash64(own), F.col(salts))
         for end, other in (("a", "b"), ("b", "a")):
-            found = found.join(ends.select(F.col("node").alias(end), F.col("salts").alias(f"s{end}")), end).withColumn(f"s{end}", turn(other, f"s{end}"))
+            found = found.join(ends.select(F.col("node").alias(end), F.col("salts").alias(f"s{end}")), end).withColumn(f"s{end}", F.pmod(F.xxhash64(other), F.col(f"s{end}")))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}"), F.explode(F.expr("sequence(0L, salts - 1)")).alias(f"s{end}"))
         both = F.size(F.array_intersect("ha", "hb"))
         of_all = F.size("ha") + F.size("hb") - both
         return save(spark, found.join(of("a"), ["a", "sa"]).join(of("b"), ["b", "sb"]).where(both >= F.lit(similarity) * of_all - 1e-6).select("a", "b"), "similar")
 
-    few, edges, comp = FEW * nodes.count(), None, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS or (turn > 0 and _open_pairs(shared) <= few)
-        new = check(_all_pairs(shared, bits, similarity) if last else _pivot_pairs(shared, turn, bits, similarity))
-        edges = new if edges is None else edges.unionAll(new)
-        comp = connected_components(spark, edges)
-        if last:
-            break
-        shared = save(spark, shared.drop("comp").join(comp.select(F.col("node").alias("_n"), "component"), F.col("x.node") == F.col("_n"), "left").select("band", "x", F.coalesce("component", "x.node").alias("comp")), "bands")
+    edges = check(_pivot_pairs(shared, bits, similarity))
+    comp = connected_components(spark, edges)
+    labelled = nodes.select("node", "size", "f0", "f1", "bands").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    placed = save(spark, shared.select("band", "n", F.col("x.node").alias("node")).join(labelled, "node"), "placed")
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    opened = save(spark, placed.join(several, "band"), "opened")
+    opened = opened.join(sets_of(opened.select("node").distinct()), "node")
+    comp = connected_components(spark, edges.unionAll(_all_links(spark, opened, bits, similarity, group)))
     labelled = nodes.join(comp, "node", "left").select("node", "n", "doc_id", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = save(spark, labelled.join(least, "component").select("node", "n", "component", "component_id"), "labels")

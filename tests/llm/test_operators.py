@@ -382,10 +382,10 @@ def test_similar_documents_stay_once(spark, monkeypatch):
     least = {c: min((i for (i, _), k in zip(rows, comp) if k == c and i is not None), default=None) for c in comp}
     want = sorted(((-1 if i is None else i), least[c]) for (i, _), c in zip(rows, comp))
     docs = docs_of(spark, rows)
-    for rounds, few, group in ((similar.ROUNDS, similar.FEW, similar.GROUP), (0, 0, 2), (2, 0, 3)):  # 0 rounds: all pairs at once
-        for name, value in (("ROUNDS", rounds), ("FEW", few), ("GROUP", group), ("SALTED", 2), ("SMALL", 5 * few)):
-            monkeypatch.setattr(similar, name, value)
-        got = similar.near_documents(spark, docs).collect()
+    for group, salted, small in ((similar.GROUP, similar.SALTED, similar.SMALL), (1, 2, 5)):  # 1: every band is dealt to blocks
+        monkeypatch.setattr(similar, "SALTED", salted)
+        monkeypatch.setattr(similar, "SMALL", small)
+        got = similar.near_documents(spark, docs, group=group).collect()
         assert sorted(((-1 if r.doc_id is None else r.doc_id), r.component_id) for r in got) == want
         kept = sorted(-1 if r.doc_id is None else r.doc_id for r in got if r.kept)
         assert len(kept) == len(set(comp)) and {k for k in kept} == {-1 if v is None else v for v in least.values()}
