@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces remembered at a time; the older half is forgotten when full. Bounds a worker's memory.
-MOST_PIECES = 300_000
-AT_ONCE = 1000  # texts whose distinct pieces are found together
+MOST_PIECES = 200_000
+AT_ONCE = 500  # texts whose distinct pieces are found together
 MOST_NEW = 15_000
 FIRST = "\x01"  # marks a text's first piece, before which there is no blank
 ODD = b"odd"  # stands for pieces that may match differently beside their neighbours

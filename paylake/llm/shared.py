@@ -16,9 +16,13 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Memory of batches comes from malloc, so that ``release`` can give it back; Arrow's own pools keep most of it.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of a batch that is handed to Python: rows may hold very long texts.
 BATCH_BYTES = 8 << 20
 _ROOTS: dict[str, str] = {}
@@ -154,8 +158,6 @@ def release() -> None:
     """Gives memory that is free back to the system; a worker lives on between tasks and stages."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
