@@ -21,9 +21,9 @@ IBAN_LENGTHS = {
     "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "YE": 30,
 }
 # Patterns and bounds of the message schemas.
-BIC = r"^[A-Z0-9]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?$"
-CURRENCY = r"^[A-Z]{3}$"
-COUNT = r"^[0-9]{1,15}$"
+BIC = r"^[A-Z0-9]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?\z"
+CURRENCY = r"^[A-Z]{3}\z"
+COUNT = r"^[0-9]{1,15}\z"
 HEADER_AMOUNT = (Decimal("0.01"), Decimal("999999999999999.99"))
 TXN_AMOUNT = (Decimal("0.01"), Decimal("999999999.99"))
 
@@ -41,13 +41,13 @@ def si_check(bban: Column) -> Column:
     """Slovenian account: 13 digits and the two check digits that belong to them."""
     base, check = F.substring(bban, 1, 13).try_cast("bigint"), F.substring(bban, 14, 2).try_cast("int")
     # base * 100 would leave the range of 64 bits only beyond 16 digits
-    return F.coalesce(bban.rlike("^[0-9]{15}$") & (98 - (base * 100) % 97 == check), F.lit(False))
+    return F.coalesce(bban.rlike(r"^[0-9]{15}\z") & (98 - (base * 100) % 97 == check), F.lit(False))
 
 
 def iban(v: Column) -> Column:
     """Country known, length right, characters right, remainder 1, and the national check where there is one."""
     lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
-    shape = v.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Za-z]+$") & (F.length(v) == F.try_element_at(lengths, F.substring(v, 1, 2)))
+    shape = v.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Za-z]+\z") & (F.length(v) == F.try_element_at(lengths, F.substring(v, 1, 2)))
     bban = F.substr(v, F.lit(5), F.greatest(F.length(v) - 4, F.lit(0)))
     # guarded: the fold runs only over texts of the right shape
     sound = F.when(shape, mod97(F.concat(bban, F.substring(v, 1, 4))) == 1).otherwise(False)

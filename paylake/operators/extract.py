@@ -42,7 +42,7 @@ def _element(wrong: Column, cast: Callable[[Column], Column], before: Column) ->
 
 
 def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = ("doc_ndx",)) -> DataFrame:
-    """The segments of one kind: ``keep``, seg_id, raw, a column per field, errors and complete.
+    """The segments of one kind: ``keep``, seg_id, raw, tag, a column per field, errors and complete.
 
     A scalar is its first occurrence, null if there is none; a repeated field an array of its first
     ten. A validated field is struct(value, error_idx): the value, or the place of its error in
@@ -78,14 +78,17 @@ def extract(cut: DataFrame, schema: Schema, kind: str, keep: tuple[str, ...] = (
             count = wrong.cast("int")
         own.append(value.alias(f.name))
         before = before + count
-    return mine.select(*keep, "seg_id", "raw", *own, (F.concat(*errors) if errors else F.array()).cast(_NO_ERRORS).alias("errors"), found.alias("complete"))
+    return mine.select(*keep, "seg_id", "raw", "tag", *own, (F.concat(*errors) if errors else F.array()).cast(_NO_ERRORS).alias("errors"), found.alias("complete"))
 
 
-def with_flags(segments: DataFrame, doc: str = "doc_ndx") -> DataFrame:
-    """is_first and is_last of each segment of its document; the last one is the one of the largest
-    seg_id. One aggregate and one join, so a document of any size is fine."""
-    last = segments.where("seg_id >= 0").groupBy(doc).agg(F.max("seg_id").alias("_last"))
-    return segments.join(last, doc, "left").withColumn("is_first", F.col("seg_id") == 0).withColumn("is_last", F.coalesce(F.col("seg_id") == F.col("_last"), F.lit(False))).drop("_last")
+def with_flags(segments: DataFrame) -> DataFrame:
+    """is_first and is_last of each segment of its document. The cutter knows the last one, so nothing is shuffled."""
+    return segments.withColumn("is_first", F.col("seg_id") == 0).withColumn("is_last", F.coalesce("is_last", F.lit(False)))
+
+
+def fragment() -> Column:
+    """A segment as a document of its own: its open tag with the namespaces in scope, and the rest."""
+    return F.concat("tag", "raw")
 
 
 def numbered(df: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from xml.parsers import expat
+from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..schema import MAX_REPEATED, REPEATED, Schema
 
-CUT_DDL = "seg_id int, kind string, raw string, vals array<array<string>>, fault struct<code:string,message:string,line:int,column:int,context:string>"
+CUT_DDL = "seg_id int, kind string, raw string, vals array<array<string>>, fault struct<code:string,message:string,line:int,column:int,context:string>, is_last boolean, tag string"
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 _TAG = re.compile(rb"<[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 
@@ -75,16 +76,22 @@ def context_of(content: bytes, line: int) -> str:
 class Cutter:
     """Cuts one document at a time."""
 
-    def __init__(self, top: _Node, kinds: list[tuple[str, _Node, list[bool]]]):
-        self.top, self.kinds = top, kinds
+    def __init__(self, top: _Node, kinds: list[tuple[str, _Node, list[bool]]], is_text: bool = False):
+        self.top, self.kinds, self.is_text = top, kinds, is_text  # is_text: UTF-8 whatever a document declares
 
     def cut(self, content: bytes | None) -> Iterator[tuple]:
-        """(seg_id, kind, raw, vals, fault) rows."""
-        content = content or b""
+        """(seg_id, kind, raw, vals, fault, is_last, tag) rows. ``tag`` is the segment's open tag with the namespaces that
+        it inherits, so tag and raw together are a document of their own."""
+        content, is_text = content or b"", self.is_text
+        if content[:2] in (b"\xff\xfe", b"\xfe\xff"):  # two bytes a character: places are found in UTF-8
+            content, is_text = content.decode("utf-16", "replace").encode(), True
         found: list[tuple] = []
-        p = expat.ParserCreate(namespace_separator="}")
+        p = expat.ParserCreate("utf-8" if is_text else None, namespace_separator="}")
         p.buffer_text = True
         encoding = "utf-8"
+        scope: dict[str | None, list[str]] = {}  # namespaces by prefix, innermost last
+        fresh: set[str | None] = set()  # prefixes that the element to be opened declares
+        inherited = ""
         above: list[_Node | None] = [self.top]  # of the open elements outside segments
         inside: list[_Node | None] = []  # of the open elements of the segment
         kind, start, vals, texts = -1, 0, [], []
@@ -92,7 +99,14 @@ class Cutter:
 
         def declared(version, name, standalone):
             nonlocal encoding
-            encoding = name or encoding
+            encoding = encoding if is_text else name or encoding
+
+        def bound(prefix, uri):
+            scope.setdefault(prefix, []).append(uri or "")
+            fresh.add(prefix)
+
+        def unbound(prefix):
+            scope[prefix].pop()
 
         def attributes(node, attrs):
             for name, k in node.attributes:
@@ -100,7 +114,7 @@ class Cutter:
                     vals[k].append(attrs[name])
 
         def opened(name, attrs):
-            nonlocal kind, start, vals, repeats
+            nonlocal kind, start, vals, repeats, inherited
             if inside:
                 node = inside[-1] and inside[-1].next.get(name)
                 inside.append(node)
@@ -113,6 +127,8 @@ class Cutter:
             node = above[-1] and above[-1].next.get(name)
             above.append(node)
             if node and node.kind is not None:
+                mine = ((f" xmlns:{x}" if x else " xmlns", u[-1]) for x, u in scope.items() if u and x not in fresh)
+                inherited = "".join(f"{x}={quoteattr(u)}" for x, u in mine)
                 kind, start = node.kind, p.CurrentByteIndex
                 _, own, repeats = self.kinds[kind]
                 vals = [[] for _ in repeats]
@@ -121,6 +137,8 @@ class Cutter:
                 if own.fields:
                     texts.append([])
                     p.CharacterDataHandler = text
+            if fresh:
+                fresh.clear()
 
         def text(data):
             # only of the innermost open element, and only if it is a field
@@ -147,11 +165,14 @@ class Cutter:
                 tag = _TAG.match(content, start)
                 a = tag.end() if tag else start
                 z = a if content[a - 2 : a] == b"/>" else content.find(b">", p.CurrentByteIndex) + 1
-                found.append((self.kinds[kind][0], content[a:z].decode(encoding, "replace"), vals))
+                own = content[start:a].decode(encoding, "replace")
+                end = -2 if own.endswith("/>") else -1
+                found.append((self.kinds[kind][0], content[a:z].decode(encoding, "replace"), vals, own[:end] + inherited + own[end:]))
                 kind = -1
 
         p.XmlDeclHandler, p.StartElementHandler, p.EndElementHandler = declared, opened, closed
-        fault, at, n = None, 0, 0
+        p.StartNamespaceDeclHandler, p.EndNamespaceDeclHandler = bound, unbound
+        fault, at, n, held = None, 0, 0, None
         while not fault and (at < len(content) or not at):
             try:
                 p.Parse(content[at : at + (1 << 20)], at + (1 << 20) >= len(content))
@@ -160,30 +181,34 @@ class Cutter:
                 code = "syntax_error" if content.strip() else "xml_empty"
                 fault = {"code": code, "message": str(e), "line": line, "column": getattr(e, "offset", 0), "context": context_of(content, line)}
             at += 1 << 20
-            for name, raw, v in found:
-                yield n, name, raw, v, None
+            for name, raw, v, tag in found:  # one is held back until the next is known
+                if held:
+                    yield (*held, False, held_tag)
+                held, held_tag = (n, name, raw, v, None), tag
                 n += 1
             found.clear()
+        if held:
+            yield (*held, True, held_tag)
         if fault:
-            yield -1, None, None, None, fault
+            yield -1, None, None, None, fault, None, None
 
 
 def cut(docs: DataFrame, schema: Schema, keep: tuple[str, ...] = ("doc_ndx",), content: str = "content") -> DataFrame:
-    """``docs`` (content: binary or string) -> a row per segment: the ``keep`` columns, seg_id, kind, raw,
-    vals (texts of each field in order of declaration) and fault."""
+    """``docs`` (content: binary, or string whatever encoding it declares) -> a row per segment: the ``keep`` columns, seg_id,
+    kind, raw, vals (texts of each field in order of declaration), fault, is_last and tag."""
     fields, compiled = [docs.schema[c] for c in keep], compile_schema(schema)
     out = T.StructType([*fields, *T._parse_datatype_string(CUT_DDL).fields])
 
-    names = out.names
+    names, is_text = out.names, isinstance(docs.schema[content].dataType, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(*compiled)
+        cutter = Cutter(*compiled, is_text)
         at, rows, size, kinds = [], [], 0, None
 
         def batch() -> pa.RecordBatch:
             cols = [pa.array([x[k] for x in at], t) for k, t in enumerate(kinds)]
             segs = list(zip(*rows))
-            types = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.struct([("code", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("context", pa.string())])]
+            types = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.struct([("code", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("context", pa.string())]), pa.bool_(), pa.string()]
             return pa.RecordBatch.from_arrays([*cols, *[pa.array(c, t) for c, t in zip(segs, types)]], names=names)
 
         for b in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +35,15 @@ def document_set(spark: SparkSession, paths: list[str], ids: list[int] | None =
     if missing:
         raise DocumentError(f"cannot open {missing[0]}")
     uris = [p if "://" in p else "file://" + os.path.abspath(p) for p in paths]
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for u in dict.fromkeys(u for u, p in zip(uris, paths) if "://" in p):
+        at = jvm.org.apache.hadoop.fs.Path(u)
+        if not at.getFileSystem(hadoop).exists(at):
+            raise DocumentError(f"cannot open {u}")
     listed = spark.createDataFrame([(k, p, (ids[k] if ids and ids[k] else k + 1)) for k, p in enumerate(uris)], "doc_ndx int, path string, out_doc_id long")
-    files = spark.read.format("binaryFile").load(uris) if uris else spark.createDataFrame([], "path string, content binary")
+    # a path is read once however often it is listed, and its characters stand for themselves
+    once = sorted({re.sub(r"([\\*?\[\]{}])", r"\\\1", u) for u in uris})
+    files = spark.read.format("binaryFile").load(once) if uris else spark.createDataFrame([], "path string, content binary")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     found = files.select(plain(F.col("path")).alias("at"), "content")
     out = listed.join(found, plain(F.col("path")) == F.col("at"), "left").drop("at")

@@ -1,6 +1,7 @@
 import os
 from datetime import date, datetime
 from decimal import Decimal
+from xml.etree import ElementTree
 
 import pytest
 from hypothesis import given
@@ -14,7 +15,7 @@ from paylake.messages import NAMESPACES, pacs8
 from paylake.operators.export import plan_blocks
 from paylake.operators.verdict import failed_documents, report
 from paylake.operators.extract import extract
-from paylake.operators.xsd import GrammarError, load_grammar
+from paylake.operators.xsd import GrammarError, load_grammar, violates
 from paylake.plans.exporter import run_export
 from paylake.plans.importer import run_import, store_in_batches
 from paylake.queries import GRAMMAR
@@ -169,6 +170,61 @@ def test_import_verdicts(spark, tmp_path):
     assert run_import(docs.limit(0), schema()).totals().first().docs == 0
 
 
+def test_fragments_are_documents(spark):
+    s = schema()
+    text = doc(HEAD.format(n=1), TXN.format(id="a&amp;b", amount=1)).replace("<Document ", "<Document xmlns:y='urn:y&amp;z' ")
+    for row in cut_text(s, text):
+        root = ElementTree.fromstring(row[6] + row[2])
+        assert root.tag.startswith("{" + NS + "}")
+    (row,) = cut_text(Schema({}, (Segment("t", "r/t", (Field("a", "t/@a"),)),)), "<r xmlns:p='u' xmlns:q='v'><t a='1' xmlns:p='w'/></r>")
+    assert ElementTree.fromstring(row[6] + row[2]).attrib == {"a": "1"} and 'xmlns:q="v"' in row[6] and row[6].count("xmlns:p") == 1
+    assert [r[5] for r in cut_text(s, doc(HEAD.format(n=2), TXN.format(id=1, amount=1), TXN.format(id=2, amount=2)).replace("</Document>", "</Bad>"))] == [False, False, True, None]
+
+
+def test_cut_encodings(spark):
+    s = Schema({}, (Segment("t", "r/t", (Field("a", "t/a"),)),))
+    text = "<?xml version='1.0' encoding='{}'?><r><t><a>é東</a></t></r>"
+    (row,) = Cutter(*compile_schema(s)).cut(text.format("UTF-16").encode("utf-16"))
+    assert row[2:4] == ("<a>é東</a></t>", [["é東"]])
+    c = cut(spark.createDataFrame([(0, text.format("ISO-8859-1"))], "doc_ndx int, content string"), s)
+    assert [(r.raw, r.vals) for r in c.collect()] == [("<a>é東</a></t>", [["é東"]])]
+
+
+def test_last_word_and_batches(spark):
+    good = doc(HEAD.format(n=2), TXN.format(id=1, amount=1), TXN.format(id=2, amount=60_000))
+    r = run_import(docs_of(spark, [good, good, good.replace("</Document>", "</B>")]), schema(txn=lambda: F.size("errors") == 0), final_ok=F.col("doc_ndx") != 1)
+    assert {d.doc_ndx: (d.rejected, d.stored, d.reason) for d in r.documents.collect() if d.doc_ndx < 2} == {0: (False, 2, None), 1: (True, 0, "rejected at the end")}
+    assert [x.doc_ndx for x in r.stored("txn").collect()] == [0]
+    out = r.store("txn", lambda rows: None, lambda rows: None).collect()
+    assert sum(x.rows for x in out) == 1 + r.failed("txn").count()
+
+
+def test_grammars_of_one_name_and_unknown_agents(spark, tmp_path):
+    names = []
+    for most in (1, 9):
+        (tmp_path / str(most)).mkdir()
+        (tmp_path / str(most) / "g.xsd").write_text(GRAMMAR.format(ns=NS, most=most))
+        names.append(load_grammar(spark, str(tmp_path / str(most) / "g.xsd")))
+    two = doc(HEAD.format(n=2), TXN.format(id=1, amount=1), TXN.format(id=2, amount=2))
+    docs = docs_of(spark, [two, two], [1, 0])
+    assert docs.where("agent_id = 1").select(*[violates(F.col("content"), n).alias(n[8:12] + str(k)) for k, n in enumerate(names)]).first()[:] == (True, False)
+    r = run_import(docs, schema(), str(tmp_path / "1" / "g.xsd"))
+    assert {d.doc_ndx: (d.error_mask, d.xsd_invalid) for d in r.documents.collect()} == {0: (4, True), 1: (1, False)}
+
+
+def test_document_paths(spark, tmp_path):
+    for name in ("z[1].xml", "a b.xml", "c+d%20.xml"):
+        (tmp_path / name).write_text(f"<{name[0]}/>")
+    paths = [str(tmp_path / n) for n in ("z[1].xml", "a b.xml", "z[1].xml", "c+d%20.xml")]
+    got = D.document_set(spark, paths).orderBy("doc_ndx").collect()
+    assert [bytes(r.content or b"") for r in got] == [b"<z/>", b"<a/>", b"<z/>", b"<c/>"]
+    with pytest.raises(D.DocumentError):
+        D.document_set(spark, ["file:///nowhere/at/all.xml"])
+    table = spark.createDataFrame([("k1", 7), ("k1", 7), ("k2", None)], "key string, agent int")
+    docs = spark.createDataFrame([("k1", 0), ("k3", 0), ("k2", 0)], "key string, agent_id smallint")
+    assert {r.key: r.agent_id for r in D.agents_from(table, "key", "agent")(docs).collect()} == {"k1": 7, "k2": 0, "k3": 0}
+
+
 def test_grammar_states(spark, tmp_path):
     assert load_grammar(spark, str(tmp_path / "none.xsd")) is None
     (tmp_path / "bad.xsd").write_text("<nothing/>")
