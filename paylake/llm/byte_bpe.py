@@ -37,7 +37,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 WIDTH = 8  # a word of the lower bitmap has 2 ** WIDTH ranks
 BIT = [1 << k for k in range(1 << WIDTH)]
 MASK = (1 << WIDTH) - 1
-MOST_KNOWN = 80_000
+MOST_KNOWN = 120_000
 LONG = 1 << 20  # bytes from which the lists of positions are packed arrays
 
 
@@ -216,7 +216,8 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
                 ids = _lists(enc.texts(b.column(t).cast(pa.string())))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, *[_bytes_of(ids, vocab)] * bool(decoded)], names=schema.names)
                 del ids, b
-                release()
+            del whole
+            release()
 
     return docs.mapInArrow(run, schema)
 
