@@ -49,11 +49,11 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[sc.applicationId]
 
 
-def bounded(spark: SparkSession) -> None:
-    """From now on batches handed to Python have ``BATCH_BYTES`` at most, whatever the length of texts."""
+def bounded(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on batches handed to Python have ``most`` bytes at most, whatever the length of texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
+    if (now := int(spark.conf.get(key).rstrip("b"))) > most or now == BATCH_BYTES:
+        spark.conf.set(key, f"{most}b")
 
 
 def _new_path(spark: SparkSession, name: str, keep: bool) -> str:

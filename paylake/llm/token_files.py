@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pretokens import PieceEncoder
-from .shared import bounded, release, shared_root
+from .shared import BATCH_BYTES, bounded, release, shared_root
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -54,7 +54,7 @@ def _encoder(path: str) -> PieceEncoder:
 def token_rows(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids in ascending doc_id order over the partitions; ``part`` numbers them, and ``ndx`` the rows in each."""
     path = path or public_tokenizers.path(VOCABULARY)
-    bounded(docs.sparkSession)
+    bounded(docs.sparkSession, 4 * BATCH_BYTES)  # many texts share more of their pieces
     tail = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
