@@ -39,35 +39,53 @@ class PieceEncoder:
         now, old = self.now, self.old
         new, marked = [], []
         for p in pieces:
-            if p in old:
-                now[p] = old[p]
+            if (x := old.get(p)) is not None:
+                now[p] = x
+            elif p.isalnum():  # most are words
+                new.append(p)
             elif p[-1:] in (",", ".") and p[-2:-1].isalpha():  # a word and one mark after it are encoded apart
                 marked.append(p)
-                if (word := p[:-1]) in old:
-                    now[word] = old[word]
-                elif word not in now:
-                    self._sort(word, new)
-            elif p not in now:
+            else:
                 self._sort(p, new)
-        for k in range(0, len(new), self.most_new):
-            self._encode_all(new[k : k + self.most_new])
+        self._encode_all(new)
+        words = []
+        for w in dict.fromkeys([p[:-1] for p in marked]):
+            if w not in now:
+                if (x := old.get(w)) is not None:
+                    now[w] = x
+                else:
+                    self._sort(w, words)
+        self._encode_all(words)
         for p in marked:
             now[p] = ODD if (base := now[p[:-1]]) is ODD else base + self.marks[p[-1]]
 
     def _sort(self, p: str, new: list[str]) -> None:
-        self.now[p] = ODD  # for the time being, if it is new
         body = p[1:] if p[:1] in ("\n", FIRST) else p
-        if (not (body[:1].isspace() or body[-1:].isspace()) if body else p == "\n") and not any(w in p for w in self.whole):
+        if not (body[:1].isspace() or body[-1:].isspace()) if body else p == "\n":
             new.append(p)
+        else:
+            self.now[p] = ODD
 
     def _encode_all(self, new: list[str]) -> None:
+        for k in range(0, len(new), self.most_new):
+            self._encode_some(new[k : k + self.most_new])
+
+    def _encode_some(self, new: list[str]) -> None:
+        now = self.now
         # a text's first piece comes after a line feed here, which is one id of its own
-        texts = [p if p[0] == "\n" else "\n" + p[1:] if p[0] == FIRST else " " + p for p in new]
-        ids = self.encode("".join(texts))
+        texts = [" " + p if (c := p[0]) != "\n" and c != FIRST else "\n" + p[1:] for p in new]
+        text = "".join(texts)
+        if any(w in text for w in self.whole):  # pieces with such a string stay odd
+            now.update(dict.fromkeys(new, ODD))
+            new, n = [p for p, t in zip(new, texts) if not any(w in t for w in self.whole)], len(new)
+            if 0 < len(new) < n:
+                self._encode_some(new)
+            return
+        ids = self.encode(text)
         upto = np.cumsum(self.lengths[ids])
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in texts])
-        at = (np.searchsorted(upto, ends) + 1) * 4
-        data, now, a = ids.tobytes(), self.now, 0
+        sizes = map(len, texts) if text.isascii() else [len(x) if x.isascii() else len(x.encode()) for x in texts]
+        at = (np.searchsorted(upto, np.cumsum(np.fromiter(sizes, np.int64, len(texts)))) + 1) * 4
+        data, a = ids.tobytes(), 0
         for p, z in zip(new, at.tolist()):
             now[p] = data[a + 4 : z] if p[0] == FIRST else data[a:z]
             a = z

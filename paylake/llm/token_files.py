@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pretokens import PieceEncoder
-from .shared import BATCH_BYTES, bounded, release, shared_root
+from .shared import BATCH_BYTES, bounded, open_fs, release, shared_root
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 FILE_BYTES = 24 << 20  # of text in one file
-MOST_PIECES, AT_ONCE, MOST_NEW = 500_000, 2000, 30_000  # see PieceEncoder
+MOST_PIECES, AT_ONCE, MOST_NEW = 500_000, 4000, 30_000  # see PieceEncoder
 
 
 @functools.lru_cache(2)
@@ -108,18 +108,31 @@ def with_start(t: DataFrame, stored: DataFrame) -> DataFrame:
     return t.withColumn("upto", F.sum("n_tokens").over(within)).join(sums, "part").withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("before", "upto", "part", "ndx")
 
 
-def checksums(t: DataFrame) -> DataFrame:
-    """part, ndx, doc_id, n_tokens and ids_crc32 of what the files hold."""
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """part, ndx, doc_id, n_tokens and ids_crc32 of what the files hold. A task reads its files with Arrow, ``AT_ONCE``
+    documents at a time, so ids do not pass through rows of the JVM; a retried task reads them again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(4)
-            data = memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
-            at = lists.offsets.to_numpy().astype(np.int64) * 4
-            crc = [zlib.crc32(data[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=["part", "ndx", "doc_id", "n_tokens", "ids_crc32"])
+        import pyarrow.parquet as pq
+
+        names = ["part", "ndx", "doc_id"]
+        for files in batches:
+            for uri in files.column(0).to_pylist():
+                fs, at = open_fs(uri)
+                with fs.open_input_file(at) as f:
+                    for b in pq.ParquetFile(f).iter_batches(AT_ONCE, columns=[*names, "ids"], use_threads=False):
+                        lists = b.column("ids")
+                        data = memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
+                        cuts = lists.offsets.to_numpy().astype(np.int64)
+                        ends = (cuts * 4).tolist()
+                        crc = [zlib.crc32(data[x:y]) for x, y in zip(ends, ends[1:])]
+                        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=[*names, "n_tokens", "ids_crc32"])
+                        del b, lists, data
+            release()
 
-    return t.select("part", "ndx", "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").mapInArrow(run, "part int, ndx long, doc_id long, n_tokens long, ids_crc32 long")
+    # the files' names, dealt by size; their contents are not read here
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return files.mapInArrow(run, "part int, ndx long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,4 +141,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     write_tokens(token_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")), path)
     stored = spark.read.parquet(path)
-    return with_start(checksums(stored), stored).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_start(checksums(spark, path), stored).select("doc_id", "start", "n_tokens", "ids_crc32")

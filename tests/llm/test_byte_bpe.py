@@ -94,7 +94,7 @@ def test_token_files(spark, tmp_path, encoding):
     rows = {r.doc_id: r for r in spark.read.parquet(path).collect()}
     assert {k: r.ids for k, r in rows.items()} == want
     at = 0
-    crc = {r.doc_id: r.ids_crc32 for r in token_files.checksums(spark.read.parquet(path)).collect()}
+    crc = {r.doc_id: r.ids_crc32 for r in token_files.checksums(spark, path).collect()}
     for r in sorted(token_files.read_metadata(spark, path).collect(), key=lambda r: r.doc_id):
         assert (r.start, r.n_tokens) == (at, len(want[r.doc_id]))
         assert crc[r.doc_id] == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())
