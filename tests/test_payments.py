@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paylake import cli
+from paylake import cli, queries
 from paylake.errors import ExportError, render
 from paylake.functions import casts, validators
 from paylake.messages import NAMESPACES, pacs8
@@ -21,7 +21,7 @@ from paylake.plans.importer import run_import, store_in_batches
 from paylake.queries import GRAMMAR
 from paylake.schema import REPEATED, Field, Path, Schema, SchemaError, Segment
 from paylake.sources import documents as D
-from paylake.sources.cut import Cutter, compile_schema, cut, rows_of_tag
+from paylake.sources.cut import Cutter, Shapes, compile_schema, cut, rows_of_tag
 from paylake.sources.publish import PublishError, staging_file
 from paylake.streaming.inbox import watch
 
@@ -311,3 +311,38 @@ def test_cli_and_stream(spark, tmp_path):
 
 def test_error_text():
     assert render("semantic_error", "no", "invalid_iban", "a.xml", 3) == "[semantic_error:invalid_iban] no (file: a.xml, line: 3)"
+
+
+# ---- documents by their markup
+
+
+def test_markup_is_parsed_once(spark, monkeypatch):
+    seen, places = [], Cutter.places
+    monkeypatch.setattr(Cutter, "places", lambda self, content, is_text: (seen.append(1), places(self, content, is_text))[1])
+    cutter = Cutter(*compile_schema(schema()))
+    shapes = Shapes(cutter)
+    texts = [doc(HEAD.format(n=k), *[TXN.format(id=f"{k}-{j}", amount=j) for j in range(k % 5)]) for k in range(60)]
+    texts += [t.replace("</Document>", "</B>") for t in texts[:9]] + [texts[1].replace("0-0", "a&amp;b"), texts[3].replace("<PmtId>", "<!-- > --><PmtId>")]
+    for t in texts[:69]:
+        parts, fault = shapes.of(t.encode(), False)
+        assert sum(p.n for _, _, p in parts) == 1 + t.count("<PmtId>") and (fault is None) == ("</B>" not in t)
+    assert len(seen) < 20
+    got = [(r.doc_ndx, *r[1:5], r.fault and r.fault.code, *r[6:]) for r in cut(docs_of(spark, texts).repartition(1), schema()).collect()]
+    want = [(k, *seg[:4], seg[4] and seg[4]["code"], *seg[5:]) for k, t in enumerate(texts) for seg in cutter.cut(t.encode())]
+    assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert {(r.raw, r.tag) for r in cut(docs_of(spark, texts[:3]), schema(), raw=False).collect()} == {(None, None)}
+
+
+def test_slots_of_other_kinds_are_other_markup(spark):
+    s = Schema({"": "u"}, (Segment("t", "r/t", (Field("a", "t/a"), Field("at", "t/a/@q"))),))
+    shapes, cutter = Shapes(Cutter(*compile_schema(s))), Cutter(*compile_schema(s))
+    for text in ("<r xmlns='u'><t><a q='''>'<b/></a></t></r>", "<r xmlns='u'><t><a q='\"'>x<b/></a></t></r>", "<r xmlns='v'><t><a q='1'>x<b/></a></t></r>", "<r xmlns='u'><t><a q='x>y'>x<b/>z</a></t></r>"):
+        known = shapes.of(text.encode(), False)
+        assert known and sum(p.n for _, _, p in known[0]) == len([x for x in cutter.cut(text.encode()) if x[0] >= 0])
+
+
+def test_lines_are_those_of_the_sql(spark):
+    src = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("lineitem", "orders")}
+    want = spark.sql(queries.lines_sql(queries.SPARK_BIG).replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **src)
+    got = queries.lines(spark, "/root/testdata/sf0.001")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and "decimal(38" not in got._jdf.queryExecution().optimizedPlan().toString()
