@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import MAX_REPEATED, REPEATED, Schema
+from .columns import Columns
 
 CUT_DDL = "seg_id int, kind string, raw string, vals array<array<string>>, fault struct<code:string,message:string,line:int,column:int,context:string>, is_last boolean, tag string"
 BATCH_ROWS, BATCH_BYTES, BATCH_DOCS = 4096, 16 << 20, 1024
+SLICE_BYTES = 4 << 20  # of documents that are cut together
 _TAG = re.compile(rb"<[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 
 
@@ -132,6 +134,8 @@ class Cutter:
         def opened(name, attrs):
             nonlocal kind, start, vals, repeats, inherited
             if inside:
+                if fresh:  # what an element inside declares is not the next segment's own
+                    fresh.clear()
                 node = inside[-1] and inside[-1].next.get(name)
                 inside.append(node)
                 if node:
@@ -356,11 +360,16 @@ class Shapes:
 
     def fault(self, content: bytes) -> dict | None:
         """The fault of a document that is known to have one."""
-        p, fault, at = expat.ParserCreate("utf-8", namespace_separator="}"), None, 0
-        while not fault and (at < len(content) or not at):
-            fault = parsed(p, content, at)
-            at += 1 << 20
-        return fault
+        return fault_at(content)[0]
+
+
+def fault_at(content: bytes) -> tuple[dict | None, int]:
+    """The fault of a document in UTF-8, and its place."""
+    p, fault, at = expat.ParserCreate("utf-8", namespace_separator="}"), None, 0
+    while not fault and (at < len(content) or not at):
+        fault = parsed(p, content, at)
+        at += 1 << 20
+    return fault, p.ErrorByteIndex
 
 
 class _Rows:
@@ -432,7 +441,7 @@ class _Rows:
 
     def batch(self, keep: list[pa.Array], names: list[str]) -> pa.RecordBatch:
         rows = pa.array(np.repeat(self.docs, self.counts))
-        offsets = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
+        offsets = _offsets
         texts = pc.utf8_slice_codeunits(pa.array(self.texts, pa.string()), 1)
         inner = pa.ListArray.from_arrays(offsets(self.lengths), texts)
         fields = np.array(self.fields, dtype=np.int64)
@@ -445,6 +454,29 @@ class _Rows:
         return pa.RecordBatch.from_arrays([*[c.take(rows) for c in keep], *cols], names=names)
 
 
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
+
+
+def _batch_of(rows: tuple, keep: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """The segments that ``Columns`` has found."""
+    doc, number, kinds, fields, lengths, texts, last, raws, tags = rows
+    vals = pa.ListArray.from_arrays(_offsets(fields), pa.ListArray.from_arrays(_offsets(lengths), texts))
+    at, none = pa.array(doc), pa.nulls(len(doc), pa.string())
+    cols = [pa.array(number, pa.int32()), kinds, none if raws is None else raws, vals, pa.nulls(len(doc), _Rows.FAULT), pa.array(last), none if tags is None else tags]
+    return pa.RecordBatch.from_arrays([*[c.take(at) for c in keep], *cols], names=names)
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where to slice documents: at most ``BATCH_DOCS`` and ``SLICE_BYTES``, but one at least."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    at = 0
+    while at < len(column):
+        to = min(int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1, at + BATCH_DOCS, len(column))
+        yield at, max(to, at + 1) - at
+        at = max(to, at + 1)
+
+
 def _clean(column: pa.Array) -> bool:
     """True if no document of a column has control characters besides tabs and line feeds."""
     if not len(column):
@@ -467,14 +499,24 @@ def cut(docs: DataFrame, schema: Schema, keep: tuple[str, ...] = ("doc_ndx",), c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(*compiled, is_text)
-        shapes = Shapes(cutter)
+        shapes, columns = Shapes(cutter), Columns(*compiled)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_DOCS):
-                b = whole.slice(at, BATCH_DOCS)
-                kept, texts = b.columns[:-1], b.column(b.num_columns - 1)
-                clean, rows = pa.types.is_binary(texts.type) and _clean(texts), _Rows(raw)
-                for doc, x in enumerate(texts):
-                    one = x.as_py()
+            documents = whole.column(whole.num_columns - 1)
+            if pa.types.is_large_binary(documents.type):
+                documents = documents.cast(pa.binary())
+            for at, size in _slices(documents) if whole.num_rows else ():
+                kept, texts = [c.slice(at, size) for c in whole.columns[:-1]], documents.slice(at, size)
+                one_by_one, found, faults = np.arange(size), None, []
+                if texts.nbytes <= Shapes.MOST_BYTES:
+                    known, found, faults = columns.cut(texts, lambda d: fault_at(texts[int(d)].as_py()), raw)
+                    one_by_one = np.flatnonzero(~known)
+                if found:
+                    yield _batch_of(found, kept, names)
+                clean, rows = len(one_by_one) == size and _clean(texts), _Rows(raw)
+                for doc, fault in faults:
+                    rows.row(doc, (-1, None, None, None, fault, None, None))
+                for doc in map(int, one_by_one):
+                    one = texts[doc].as_py()
                     known = shapes.of(one, clean)
                     if known:
                         rows.document(doc, *known)

@@ -3,6 +3,7 @@ from datetime import date, datetime
 from decimal import Decimal
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -21,7 +22,8 @@ from paylake.plans.importer import run_import, store_in_batches
 from paylake.queries import GRAMMAR
 from paylake.schema import REPEATED, Field, Path, Schema, SchemaError, Segment
 from paylake.sources import documents as D
-from paylake.sources.cut import Cutter, Shapes, compile_schema, cut, rows_of_tag
+from paylake.sources.columns import Columns
+from paylake.sources.cut import Cutter, Shapes, compile_schema, cut, fault_at, rows_of_tag
 from paylake.sources.publish import PublishError, staging_file
 from paylake.streaming.inbox import watch
 
@@ -346,3 +348,31 @@ def test_lines_are_those_of_the_sql(spark):
     want = spark.sql(queries.lines_sql(queries.SPARK_BIG).replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}"), **src)
     got = queries.lines(spark, "/root/testdata/sf0.001")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and "decimal(38" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_cut_together(spark):
+    top, kinds = compile_schema(schema())
+    cutter, columns = Cutter(top, kinds), Columns(top, kinds)
+    plain = [doc(HEAD.format(n=k), *[TXN.format(id=f"{k}é", amount=j) for j in range(k % 5)]) for k in range(40)]
+    plain += [t.replace("</Document>", "</B>") for t in plain[:5]] + [plain[4].replace("</PmtId>", "</Pm>", 2), plain[3].replace("<TxId>3é</TxId>", "<TxId/>"), plain[3].replace(NS, "urn:other"), '<?xml version="1.0"?>\n' + plain[2], f"<CdtTrfTxInf xmlns='{NS}'/>", plain[2] + " \n"]
+    plain.append(doc(HEAD.format(n=1), TXN.format(id="a > b ' \" ", amount=1), TXN.format(id="", amount=2)))
+    ids = "".join(f"<InstgAgt><FinInstnId><BICFI>{k}</BICFI></FinInstnId></InstgAgt>" for k in range(12))
+    plain.append(doc(TXN.replace("<CdtrAcct>", ids + "<CdtrAcct>").format(id=1, amount=1) + TXN.format(id=2, amount=2).replace("<PmtId>", "<PmtId><TxId>first</TxId>")))
+    t = plain[3]
+    odd = ["", " ", "x", t + "x", "x" + t, t + t, t.replace("3é", "&lt;"), t.replace("3é", "<!-- -->"), t.replace("3é", "]]>"), t.replace("3é", "\x01"), t.replace("3é", "a\rb"), t.replace("3é", "<i>1</i>"), t.replace("x:GrpHdr", "q:GrpHdr"), t.replace("</Document>", ""), t.replace("<PmtId>", "<PmtId xmlns='v'>"), t.replace("<PmtId>", "<PmtId a='1' a='1'>"), t.replace("<PmtId>", "<PmtId a='<'>"), t.replace("<PmtId>", "<PmtId a='>'>"), t.replace("<PmtId>", "<PmtId a=1>"), "\n" + '<?xml version="1.0"?>' + t, t.replace("3é", "\uffff"), t[:-1], "<" + t, t.replace("</PmtId>", "</PmtId >")]
+    texts = [x for pair in zip(plain, odd + [None] * len(plain)) for x in pair]
+    column = pa.array([x.encode() for x in plain], pa.binary())
+    known, _, faults = columns.cut(column, lambda d: fault_at(column[int(d)].as_py()), True)
+    assert known.all() and len(faults) == 6
+    docs = docs_of(spark, texts).coalesce(1)
+    for raw in (True, False):
+        got = [(r.doc_ndx, *r[1:5], r.fault and r.fault.asDict(), *r[6:]) for r in cut(docs, schema(), raw=raw).collect()]
+        want = [(k, *seg) for k, x in enumerate(texts) for seg in cutter.cut(None if x is None else x.encode())]
+        want = want if raw else [(*r[:3], None, *r[4:7], None) for r in want]
+        assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_lines_are_shuffled_as_values(spark):
+    plan = queries.documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    lists = [x for x in plan.split("collect_list(")[1:]]
+    assert lists and not any("CdtTrfTxInf" in x.split(", 0, 0)")[0] or "xml" in x[:40] for x in lists)
