@@ -40,7 +40,8 @@ def mod97(v: Column) -> Column:
 def _mod97_of_digits(v: Column) -> Column:
     """The remainder of an account of up to 34 characters, two letters and then digits: two pieces and the country, no fold."""
     letter = lambda k: (F.ascii(F.substring(v, k, 1)) - 55).cast("bigint")
-    number = lambda at, n: F.coalesce(F.substring(v, at, n).try_cast("bigint"), F.lit(0).cast("bigint"))
+    # a digit before, since a text of no digits would be an exception of the cast, caught for every row
+    number = lambda at, n: F.coalesce(F.concat(F.lit("0"), F.substring(v, at, n)).try_cast("bigint"), F.lit(0).cast("bigint"))
     shift = F.pow(F.lit(10), F.greatest(F.length(v) - 19, F.lit(0))).cast("bigint")
     bban = (number(5, 15) % 97 * shift + number(20, 15)) % 97
     return (bban * (10**6 % 97) + letter(1) * 10_000 + letter(2) * 100 + number(3, 2)) % 97

@@ -200,10 +200,11 @@ class Columns:
         head = tail - counts
         some = np.flatnonzero(counts)
         # before the root, after it and after the declaration there are blanks only
-        blank = np.concatenate(([0], np.cumsum((data != 32) & (data != 9) & (data != 10), dtype=np.int32)))
         root_token, last_token = token[head[some]], token[tail[some] - 1]
         from_ = np.where(root_token > first[some], end[np.maximum(root_token - 1, 0)], offsets[some])
-        ok[some[(blank[lt[root_token]] != blank[from_]) | (blank[offsets[some + 1]] != blank[end[last_token]])]] = False
+        whole = memoryview(buffer)
+        around = zip(some.tolist(), from_.tolist(), lt[root_token].tolist(), end[last_token].tolist(), offsets[some + 1].tolist())
+        ok[[d for d, a, b, c, e in around if bytes(whole[a:b]).strip(b" \t\n") or bytes(whole[c:e]).strip(b" \t\n")]] = False
 
         # levels; the root is the only element of the first
         step = _STEP[do]

@@ -34,7 +34,7 @@ from .columns import Columns
 
 CUT_DDL = "seg_id int, kind string, raw string, vals array<array<string>>, fault struct<code:string,message:string,line:int,column:int,context:string>, is_last boolean, tag string"
 BATCH_ROWS, BATCH_BYTES, BATCH_DOCS = 4096, 16 << 20, 1024
-SLICE_BYTES = 4 << 20  # of documents that are cut together
+SLICE_BYTES = 1 << 19  # of documents that are cut together; their arrays stay in a core's cache
 _TAG = re.compile(rb"<[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 
 

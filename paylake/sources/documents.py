@@ -92,8 +92,10 @@ def transaction_xml() -> Column:
     )
 
 
-def document_xml(header: Column, transactions: Column) -> Column:
-    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<Document xmlns="{NAMESPACE}" xmlns:x="{NAMESPACE}">\n<FIToFICstmrCdtTrf>\n'), header, F.lit("\n"), transactions, F.lit("\n</FIToFICstmrCdtTrf>\n</Document>\n"))
+def document_xml(header: Column, transactions: Column, close: Column | None = None) -> Column:
+    """``close``: the last close tag, for documents with a fault there."""
+    end = close if close is not None else F.lit("</Document>")
+    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<Document xmlns="{NAMESPACE}" xmlns:x="{NAMESPACE}">\n<FIToFICstmrCdtTrf>\n'), header, F.lit("\n"), transactions, F.lit("\n</FIToFICstmrCdtTrf>\n"), end, F.lit("\n"))
 
 
 def synthetic_documents(spark: SparkSession, n: int, per_document: int, seed: int = 1) -> DataFrame:
