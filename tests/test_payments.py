@@ -386,3 +386,27 @@ def test_no_cast_of_an_empty_text(spark):
         assert spark.range(1).select(validators._mod97_of_digits(F.lit("SI56010000000100090".ljust(k, "0"))).alias("n")).first().n is not None
     text = plan._jdf.queryExecution().analyzed().toString()
     assert "cast(concat(0, substring(v" in text and "cast(substring(v#" not in text.replace("cast(substring(substr", "")
+
+
+def test_known_markup_is_followed(spark, monkeypatch):
+    """Documents of known markup are neither split at their slots nor cut in arrays, whatever the values."""
+    split, arrays, places = [], [], Columns.cut
+    monkeypatch.setattr(Columns, "cut", lambda self, *a: (arrays.append(1), places(self, *a))[1])
+    s = pacs8()
+    shapes, cutter = Shapes(Cutter(*compile_schema(s))), Cutter(*compile_schema(s))
+    before = shapes.split
+    shapes.split = lambda *a: (split.append(1), before(*a))[1]
+    agents = lambda n: "".join(f"<InstgAgt><FinInstnId><BICFI>A{k}</BICFI></FinInstnId></InstgAgt>" for k in range(n))
+    txn = TXN.replace("<CdtrAcct>", "{agents}<CdtrAcct>").replace("'EUR'", "'{ccy}'")
+    one = lambda k, j: txn.format(id=f"{k}-{j}", amount=j, agents=agents(3 * j), ccy="EUR" if k % 7 else "A\tB")
+    texts = ['<?xml version="1.0"?>\n' * (k % 2) + doc(HEAD.format(n=k), *[one(k, j) for j in range(k % 5)]).replace("</Document>", "</Document>" if k % 6 else "</B>") for k in range(300)]
+    odd = [texts[3].replace("3-1", x) for x in ("a&lt;b", "&bad;", "]]>", "", "x > y", "é", "\x01", "<b/>", "a\rb", "￿", "<!-- -->")] + [texts[3].replace("'EUR'", "'a<b'", 1), texts[3] + "x", texts[3] + " ", texts[3][:-9], "", None]
+    for t in texts:
+        assert shapes.quick(t.encode(), True)
+    assert len(split) < 30 and any(t.folded for known in shapes.below.values() for t in known)
+    all_ = texts + [x for pair in zip(odd, texts) for x in pair]
+    for raw in (True, False):
+        got = [(r.doc_ndx, *r[1:5], r.fault and r.fault.asDict(), *r[6:]) for r in cut(docs_of(spark, all_).coalesce(1), s, raw=raw).collect()]
+        want = [(k, *seg) for k, x in enumerate(all_) for seg in cutter.cut(None if x is None else x.encode())]
+        want = want if raw else [(*r[:3], None, *r[4:7], None) for r in want]
+        assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
