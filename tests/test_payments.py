@@ -22,6 +22,7 @@ from paylake.plans.importer import run_import, store_in_batches
 from paylake.queries import GRAMMAR
 from paylake.schema import REPEATED, Field, Path, Schema, SchemaError, Segment
 from paylake.sources import documents as D
+from paylake.sources import cut as cut_module
 from paylake.sources.columns import Columns
 from paylake.sources.cut import Cutter, Shapes, compile_schema, cut, fault_at, rows_of_tag
 from paylake.sources.publish import PublishError, staging_file
@@ -403,10 +404,39 @@ def test_known_markup_is_followed(spark, monkeypatch):
     odd = [texts[3].replace("3-1", x) for x in ("a&lt;b", "&bad;", "]]>", "", "x > y", "é", "\x01", "<b/>", "a\rb", "￿", "<!-- -->")] + [texts[3].replace("'EUR'", "'a<b'", 1), texts[3] + "x", texts[3] + " ", texts[3][:-9], "", None]
     for t in texts:
         assert shapes.quick(t.encode(), True)
-    assert len(split) < 30 and any(t.folded for known in shapes.below.values() for t in known)
+    assert len(split) < 30 and any(t.folded for t in shapes.learned)
     all_ = texts + [x for pair in zip(odd, texts) for x in pair]
     for raw in (True, False):
         got = [(r.doc_ndx, *r[1:5], r.fault and r.fault.asDict(), *r[6:]) for r in cut(docs_of(spark, all_).coalesce(1), s, raw=raw).collect()]
         want = [(k, *seg) for k, x in enumerate(all_) for seg in cutter.cut(None if x is None else x.encode())]
         want = want if raw else [(*r[:3], None, *r[4:7], None) for r in want]
         assert sorted(got, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_lines_in_any_order_are_found_at_once():
+    """The template of a part is known by its number of tags, not found by trying one after another."""
+    agents = lambda n: "".join(f"<InstgAgt><FinInstnId><BICFI>A{k}</BICFI></FinInstnId></InstgAgt>" for k in range(n))
+    txn = lambda k, j: TXN.replace("<CdtrAcct>", agents(j) + "<CdtrAcct>").format(id=k, amount=j)
+    texts = [doc(HEAD.format(n=k), *[txn(k, (k * 7 + j * j) % 9) for j in range(4)]).encode() for k in range(200)]
+    shapes, tried = Shapes(Cutter(*compile_schema(pacs8()))), []
+    assert all(shapes.quick(t, True) for t in texts[:100])
+    before = cut_module._Template.take
+    try:
+        cut_module._Template.take = lambda self, *a: (tried.append(1), before(self, *a))[1]
+        assert all(shapes.quick(t, True)[0] for t in texts[100:])
+    finally:
+        cut_module._Template.take = before
+    assert len(tried) <= 100 * 8
+
+
+def test_flat_columns_are_the_values(spark):
+    s = pacs8()
+    docs = docs_of(spark, [doc(HEAD.format(n=k), *[TXN.format(id=f"{k}-{j}", amount=j) for j in range(k % 4)]) for k in range(30)] + ["<x", None])
+    for raw in (True, False):
+        nested, flat = cut(docs, s, raw=raw), cut(docs, s, raw=raw, flat=True)
+        for kind in ("header", "txn"):
+            assert sorted(map(repr, extract(flat, s, kind).collect())) == sorted(map(repr, extract(nested, s, kind).collect()))
+        assert flat.where("seg_id < 0").count() == nested.where("seg_id < 0").count() == 2
+    one = s.only(txn=("txn_id", "currency"))
+    got = extract(cut(docs, one, flat=True), one, "txn").select("doc_ndx", "txn_id", "currency")
+    assert sorted(got.collect()) == sorted(extract(cut(docs, s), s, "txn").select("doc_ndx", "txn_id", "currency").collect())
