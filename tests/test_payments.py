@@ -440,3 +440,24 @@ def test_flat_columns_are_the_values(spark):
     one = s.only(txn=("txn_id", "currency"))
     got = extract(cut(docs, one, flat=True), one, "txn").select("doc_ndx", "txn_id", "currency")
     assert sorted(got.collect()) == sorted(extract(cut(docs, s), s, "txn").select("doc_ndx", "txn_id", "currency").collect())
+
+
+def test_rules_are_worked_out_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def rule(amount):
+        with open(calls, "a") as f:
+            f.write("x")
+        return amount.value is not None  # not for rows of other kinds
+
+    one = doc(HEAD.format(n=2), TXN.format(id="a", amount="2.00"), TXN.format(id="b", amount="900000"))
+    bad = one.replace("</Document>", "</B>")
+    declared = F.max("header__no_of_txn").alias("declared")
+    more = {"doc_rule": F.col("declared") == 2, "doc_aggs": (declared, F.count("*").alias("n"))}
+    r = run_import(docs_of(spark, [one, bad, "", "<r/>"]), schema(txn=lambda: F.udf(rule, "boolean")("amount")), **more)
+    assert sorted((x.doc_ndx, x.txn_id, x.status) for x in r.segments["txn"].collect()) == [(0, "a", "ok"), (0, "b", "failed"), (1, "a", "skipped"), (1, "b", "skipped")]
+    assert calls.read_text() == "xxxx"
+    columns = schema(txn=lambda: F.col("amount.value").isNotNull())
+    every = [run_import(docs_of(spark, [one, bad, "", "<r/>"]), columns, segments=k, **more).documents for k in (True, False)]
+    rows = sorted(map(repr, r.documents.collect()))
+    assert len(rows) == 4 and all(sorted(map(repr, d.collect())) == rows for d in every)
