@@ -461,3 +461,11 @@ def test_rules_are_worked_out_once(spark, tmp_path):
     every = [run_import(docs_of(spark, [one, bad, "", "<r/>"]), columns, segments=k, **more).documents for k in (True, False)]
     rows = sorted(map(repr, r.documents.collect()))
     assert len(rows) == 4 and all(sorted(map(repr, d.collect())) == rows for d in every)
+
+
+def test_rules_look_once(spark):
+    accounts = [("SI56010000000100090", True), ("SI56010000000100091", False), ("SI5601000000010009", False), ("DE89370400440532013000", True), ("GB82WEST12345698765432", True), ("XX56010000000100090", False), ("MT84MALT011000012345MTLCAST001S", True), ("", False)]
+    d = spark.createDataFrame([(*a, m, w) for a, (m, w) in zip(accounts, [("1.5", "1.50000"), ("1.123456", "1.12345"), (".5", "0.50000"), ("9999999999999.99999", "9999999999999.99999"), ("99999999999999", "0.00000"), ("1.", "1.00000"), ("12a", "12.00000"), ("-1", "0.00000")])], "v string, want boolean, a string, amount string")
+    got = d.select("v", "want", "a", "amount", validators.iban(F.col("v")).alias("got"), casts.amount(F.col("a")).cast("string").alias("n"))
+    assert all(x.got == x.want and x.n == x.amount for x in got.collect())
+    assert "element_at" not in got._jdf.queryExecution().optimizedPlan().toString()  # of 75 countries one by one
