@@ -469,3 +469,11 @@ def test_rules_look_once(spark):
     got = d.select("v", "want", "a", "amount", validators.iban(F.col("v")).alias("got"), casts.amount(F.col("a")).cast("string").alias("n"))
     assert all(x.got == x.want and x.n == x.amount for x in got.collect())
     assert "element_at" not in got._jdf.queryExecution().optimizedPlan().toString()  # of 75 countries one by one
+
+
+def test_attributes_in_one_pass(spark):
+    got = queries.extract_attr(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # the cut itself, not a table that it was stored in
+    rows = got.collect()
+    assert rows and all(x.currency == "EUR" and x.header_currency == ("USD" if x.doc % 19 == 0 else "EUR") for x in rows)
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
