@@ -380,6 +380,7 @@ class Shapes:
         self.template_bytes = 0
         self.followed = self.met = self.lessons = self.rest = 0
         self.closers: list[str] = []  # close tags of segments as they were met
+        self.text, self.ends = "", []  # of the document followed last, and where its parts end
         self.tried = self.hits = self.skip = 0
 
     def of(self, content: bytes, clean: bool) -> tuple[list[tuple[str, list[str], _Part]], dict | None] | None:
@@ -447,6 +448,7 @@ class Shapes:
     def follow(self, content: bytes, text: str) -> tuple[list[tuple[_Template, list[str]]], dict | None] | None:
         """The templates that a document consists of and their values, and its fault; None where no template goes on."""
         out, at, before = [], 0, ""
+        self.text, self.ends = text, []
         while known := self.below.get(before):
             found = None
             for close, by in known[0].items():
@@ -465,6 +467,7 @@ class Shapes:
                 return None
             of, at, values = found
             out.append((of, values))
+            self.ends.append(at)
             if t.part.faulty:
                 fault = self.fault(content)
                 return (out, fault) if fault else None
@@ -636,16 +639,18 @@ class _Rows:
 
 
 class _Known:
-    """Segments of documents along templates, until they leave as a batch: only values are held, row by row."""
+    """Segments of documents along templates, until they leave as a batch: only values are held, row by row, and raw texts
+    if ``raw``."""
 
-    def __init__(self):
+    def __init__(self, raw: bool = False):
+        self.raw, self.places = raw, []
         self.templates: list[_Template] = []
         self.pool: dict[str, int] = {"": 0}  # values that are part of a template, and the empty text
         self.tables: list[tuple[np.ndarray, ...]] = []
         self.clear()
 
     def clear(self) -> None:
-        self.docs, self.counts, self.of, self.values = [], [], [], []
+        self.docs, self.counts, self.of, self.values, self.raws, self.tags = [], [], [], [], [], []
 
     def able(self, steps: list[tuple[_Template, list[str]]]) -> bool:
         """Numbers the templates of a document. Values of several pieces are left to ``_Rows``."""
@@ -670,13 +675,34 @@ class _Known:
             layout.append(-1 - self.pool.setdefault(text, len(self.pool)))
         kinds = [self.pool.setdefault(k, len(self.pool)) for k in part.kinds]
         self.tables.append(tuple(np.array(x, np.int64) for x in (layout, part.lengths, part.fields, kinds)))
+        # a segment from before the first slot to after the last stands at fixed distances from the part's ends
+        fixed, most = None, len(t.pieces) - 1
+        if part.n == 1 and part.places[0][0] == part.places[0][2] == 0 and part.places[0][4] == most:
+            _, o1, _, o2, _, o3, inherited = part.places[0]
+            fixed = o2, len(t.pieces[most]) - o3, with_namespaces(t.pieces[0][o1:o2], inherited)
+        self.places.append(fixed)
         return True
 
-    def document(self, doc: int, steps: list[tuple[_Template, list[str]]]) -> None:
+    def fragments(self, t: _Template, values: list[str], text: str, at: int, to: int) -> None:
+        """Raw texts and tags of a part, from ``at`` to ``to`` of the text."""
+        if fixed := self.places[t.number]:
+            before, after, tag = fixed
+            self.raws.append(text[at + before : to - after])
+            self.tags.append(tag)
+            return
+        starts = list(accumulate(map(len, t.filled(values)), initial=at))
+        for k1, o1, k2, o2, k3, o3, inherited in t.part.places:
+            a = starts[k2] + o2
+            self.raws.append(text[a : starts[k3] + o3])
+            self.tags.append(with_namespaces(text[starts[k1] + o1 : a], inherited))
+
+    def document(self, doc: int, steps: list[tuple[_Template, list[str]]], text: str, ends: list[int]) -> None:
         n = 0
-        for t, values in steps:
+        for number, (t, values) in enumerate(steps):
             if t.part.n:
                 n += t.part.n
+                if self.raw:
+                    self.fragments(t, values, text, ends[number - 1] if number else 0, ends[number])
                 self.of.append(t.number)
                 if t.part.attributes:
                     values = [v if t.steps[k][2] == "<" else v.replace("\n", " ").replace("\t", " ") for k, v in enumerate(values)]
@@ -699,7 +725,7 @@ class _Known:
         last = np.zeros(len(doc), bool)
         last[ends - 1] = True
         number = np.arange(len(doc)) - np.repeat(ends - counts, counts)
-        return doc, number, pa.array(list(self.pool), pa.string()).take(pa.array(kinds)), fields, lengths, texts, last, None, None
+        return doc, number, pa.array(list(self.pool), pa.string()).take(pa.array(kinds)), fields, lengths, texts, last, *([pa.array(x, pa.string()) for x in (self.raws, self.tags)] if self.raw else (None, None))
 
 
 def _ragged(tables: list[np.ndarray], of: np.ndarray) -> np.ndarray:
@@ -791,7 +817,7 @@ def cut(docs: DataFrame, schema: Schema, keep: tuple[str, ...] = ("doc_ndx",), c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(*compiled, is_text)
-        shapes, columns, quick = Shapes(cutter), Columns(*compiled), _Known()
+        shapes, columns, quick = Shapes(cutter), Columns(*compiled), _Known(raw)
         for whole in batches:
             documents = whole.column(whole.num_columns - 1)
             if pa.types.is_large_binary(documents.type):
@@ -804,8 +830,8 @@ def cut(docs: DataFrame, schema: Schema, keep: tuple[str, ...] = ("doc_ndx",), c
                         others.append(doc)
                         continue
                     steps, parts, fault = known
-                    if steps is not None and not raw and quick.able(steps):
-                        quick.document(doc, steps)
+                    if steps is not None and quick.able(steps):
+                        quick.document(doc, steps, shapes.text, shapes.ends)
                         parts = []
                     rows.document(doc, parts if parts is not None else shapes.parts(steps), fault)
                     if rows.n >= BATCH_ROWS or rows.size >= BATCH_BYTES:

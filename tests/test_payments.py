@@ -477,3 +477,17 @@ def test_attributes_in_one_pass(spark):
     rows = got.collect()
     assert rows and all(x.currency == "EUR" and x.header_currency == ("USD" if x.doc % 19 == 0 else "EUR") for x in rows)
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_raw_texts_along_templates():
+    cutter = Cutter(*compile_schema(schema()))
+    shapes, known, want = Shapes(cutter), cut_module._Known(True), []
+    for n in range(120):
+        text = doc(HEAD.format(n=n), *[TXN.format(id=f"t{n}é{k}", amount=f"{n}.5") for k in range(1 + n % 3)], sep="" if n % 2 else "\n")
+        text = text.replace("</Document>", "</B>") if n % 5 == 0 else text
+        found = shapes.quick(text.encode(), False)
+        if found and found[0] is not None and known.able(found[0]):
+            known.document(n, found[0], shapes.text, shapes.ends)
+            want += [(n, seg_id, raw, tag) for seg_id, _, raw, _, fault, _, tag in cutter.cut(text.encode()) if not fault]
+    rows = known.rows()
+    assert len(want) > 150 and list(zip(rows[0].tolist(), rows[1].tolist(), rows[7].to_pylist(), rows[8].to_pylist())) == want
